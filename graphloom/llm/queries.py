@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality, simhash
+from graphloom.llm import decontaminate, packing, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": packing.op2,
     "op4_simhash_near_dedup": simhash.op4,
     "op6_quality_rules": quality.op6,
+    "op8_orc_token_ids": token_files.op8,
+    "op10_decontamination": decontaminate.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
