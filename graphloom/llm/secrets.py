@@ -86,13 +86,17 @@ def battery(token: Column) -> Column:
     return F.element_at(F.transform(F.array(encoding), tests), 1)
 
 
+def _of_kind(k: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _s_base (k, s, e by start, then kind) and _s_tests (s, e, enc, len, bin of each candidate)."""
     df = docs.withColumn("_s_t", spans.markable(F.col(text)))
     df = df.select(*(F.col(f"`{c}`") for c in docs.columns), *(spans.pieces(F.col("_s_t"), p).alias(f"_s_p_{k}") for k, p in PATTERNS.items()))
     df = df.select(*(F.col(f"`{c}`") for c in docs.columns), *(spans.placed(f"_s_p_{k}").alias(f"_s_{k}") for k in PATTERNS))
     found = F.filter("_s_assign", lambda x: F.length(F.regexp_extract(x["v"], ASSIGNED, 1)) >= LEAST_ASSIGNED)
-    base = [F.transform(a, lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))) for k, a in enumerate([found, F.col("_s_access"), F.col("_s_hex")])]
+    base = [F.transform(a, _of_kind(k)) for k, a in enumerate([found, F.col("_s_access"), F.col("_s_hex")])]
     tests = F.transform("_s_random", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["v"]).alias("t")))
     flat = F.transform(tests, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"]["enc"].alias("enc"), x["t"]["len"].alias("len"), x["t"]["bin"].alias("bin")))
     ordered = F.transform(F.sort_array(F.concat(*base)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
