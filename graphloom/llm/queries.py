@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, quality, secrets, simhash, token_files
+from graphloom.llm import decontaminate, packing, pii, quality, secrets, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_personal_data": pii.op5,
     "op6_quality_rules": quality.op6,
     "op7_secret_scans": secrets.op7,
     "op8_orc_token_ids": token_files.op8,
