@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, token_files
+from graphloom.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
     "op2_best_fit_packing": packing.op2,
+    "op3_warc_packages": warc.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_personal_data": pii.op5,
     "op6_quality_rules": quality.op6,
