@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, token_files, warc
+from graphloom.llm import chat, decontaminate, extract, packing, pii, quality, secrets, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6,
     "op7_secret_scans": secrets.op7,
     "op8_orc_token_ids": token_files.op8,
+    "op9_html_extraction": extract.op9,
     "op10_decontamination": decontaminate.op10,
 }
 
