@@ -1,17 +1,46 @@
-"""The training-data pipeline: quality rules, near-duplicates, decontamination, secrets, packing."""
+"""The training-data pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes the documents that the one before it kept. Quality rules and decontamination drop what they reject, near-dedup leaves one
+document of each group, secret scans put kinds in brackets in place of secrets, and packing returns the places of all pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality
+from graphloom.llm import decontaminate, packing, quality, secrets, simhash
 from graphloom.llm.common import settle
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.stage(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.stage(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.stage(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.stage(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality.stage(docs)),
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL can't express the robust estimates and connected components; tests hold the pipeline against brute force.
+#: SQL can't express the robust estimates, the fingerprints and the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
