@@ -15,13 +15,14 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import settle, strings
+from graphloom.llm.common import settle
 from graphloom.llm.tokens import in_parts, vocabulary_path, word_ids
 
 CAPACITY, END_ID = 2048, 0
@@ -59,11 +60,11 @@ def best_fit(sizes: Sequence[int], capacity: int = CAPACITY) -> tuple[list[int],
     return where, offset, fill
 
 
-def pieces(doc_id: int, ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple]:
-    """(doc_id, piece, start, length, crc32) of 4-byte ids."""
-    for k in range(max(1, math.ceil(len(ids) / (4 * capacity)))):
-        part = ids[4 * capacity * k : 4 * capacity * (k + 1)]
-        yield doc_id, k, capacity * k, len(part) // 4, zlib.crc32(part)
+def pieces(doc_id: int, ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple]:
+    """(doc_id, piece, start, length, crc32) of unsigned 32-bit ids."""
+    for k in range(max(1, math.ceil(len(ids) / capacity))):
+        part = ids[capacity * k : capacity * (k + 1)]
+        yield doc_id, k, capacity * k, len(part), zlib.crc32(part)
 
 
 def _table(rows: list[tuple], first_bin: int, capacity: int) -> tuple[pa.RecordBatch, int]:
@@ -77,13 +78,14 @@ def _table(rows: list[tuple], first_bin: int, capacity: int) -> tuple[pa.RecordB
 
 def _local(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, rows = word_ids(path), END_ID.to_bytes(4, "little"), []
+        encoder, rows = word_ids(path), []
         bins = TaskContext.get().partitionId() << 32
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), strings(batch.column(1))
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, j in in_parts(texts):
-                for doc, ids in zip(docs[i:j], encoder.ids(texts[i:j]), strict=True):
-                    rows += pieces(doc, ids + end, capacity)
+                ids, at = encoder.flat(texts[i:j], END_ID)
+                for doc, a, b in zip(docs[i:j], at.tolist(), at[1:].tolist(), strict=False):
+                    rows += pieces(doc, ids[a:b], capacity)
             if len(rows) >= GATHER:
                 table, n = _table(rows, bins, capacity)
                 rows, bins = [], bins + n
