@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import new_path, strings
+from graphloom.llm.common import new_path
 from graphloom.llm.tokens import in_parts, vocabulary_path, word_ids
 
 END_ID = 2
@@ -29,20 +29,16 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
 def _encode(path: str, end_id: int):
-    end = end_id.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = word_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = strings(batch.column(1))
+            texts = batch.column(1)
             for i, j in in_parts(texts):
-                ids = [x + end for x in encoder.ids(texts[i:j])]
-                lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, j - i)
-                ends = np.cumsum(lengths)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.full(j - i, part, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
-                start += int(ends[-1])
+                ids, at = encoder.flat(texts[i:j], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                columns = [batch.column(0)[i:j], pa.array(np.full(j - i, part, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "ids"])
+                start += int(at[-1])
 
     return run
 
