@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions import paths, text
+from graphloom.functions.shared import settle
 from graphloom.model import Graph
 from graphloom.operators import fulltext, vector
 from graphloom.operators.aggregates import in_degree
@@ -192,20 +193,21 @@ def search(g: Graph, query: str, options: Options = Options(), embed=None) -> Da
     lists = []
     for k, q in enumerate(expand(query)):
         plain = sorted({t for p in fulltext.query_terms(q) for t in p})
-        hits = fulltext.bm25(docs, "symbol_id", columns, plain, wanted, where)
+        hits = settle(fulltext.bm25(docs, "symbol_id", columns, plain, wanted, where), "hits")
         n = hits.count()
         if n < 5:
             more = fulltext.substring(docs if where is None else docs.where(where), "symbol_id", "qualified", q, wanted - n).join(hits.select("id"), "id", "left_anti")
             hits = hits.unionByName(more.select("id", "score"))
         leg, confidence = None, 0.0
         if embed is not None and g.embeddings is not None:
-            near = vector.nearest(g.embeddings, "symbol_id", "vector", embed(q), wanted)
+            near = settle(vector.nearest(g.embeddings, "symbol_id", "vector", embed(q), wanted), "near")
             confidence = vector.confidence(near).first()[0]
             leg = ranked(near, "similarity")
         a, b = weights(form if k == 0 else "natural_language", confidence, leg is not None)
         lists.append(fuse(ranked(hits, "score"), leg, a, b))
-    fused = lists[0] if len(lists) == 1 else merge(lists)
-    return finish(promote(enrich(rank(fused, g, query, frequency, total, form), g), g, options.limit), options.limit, options.least)
+    fused = settle(lists[0] if len(lists) == 1 else merge(lists), "fused")
+    best = settle(rank(fused, g, query, frequency, total, form), "ranked")
+    return finish(promote(settle(enrich(best, g), "enriched"), g, options.limit), options.limit, options.least)
 
 
 def context(g: Graph, budget: int = 800) -> DataFrame:
