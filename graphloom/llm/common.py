@@ -1,39 +1,29 @@
-"""What the training-data operators share: shared-folder tables and byte-level word tables."""
+"""What the training-data operators share: tables in the shared folder, texts of Arrow columns, memory given back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Null-safe empty text.
-EMPTY = ""
-
+from graphloom.functions.shared import new_path, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Set here only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = Path(tempfile.mkdtemp(prefix="graphloom-")).as_uri()
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+__all__ = ["byte_texts", "give_back", "new_path", "settle", "shared_dir", "strings", "text_of"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+#: Null-safe empty text.
+EMPTY = ""
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    """At a task's end: return freed memory to the system, so that an idle worker leaves room to other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def text_of(name: str = "text") -> Column:

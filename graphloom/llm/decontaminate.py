@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_texts, settle, text_of
+from graphloom.llm.common import byte_texts, give_back, settle, text_of
 
 WINDOW, MIN_ITEMS, BLOCK_BYTES = 8, 2, 2 << 20
 #: Bytes of words to themselves, A-Z to lower case, all others to a space.
@@ -83,6 +83,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
             for t in byte_texts(b.column(0)):
                 counts.update(wanted.value.intersection(words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        give_back()
 
     rows = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.word): r.n for r in rows}
@@ -117,6 +118,7 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = WIN
                 kept = [i for i, x in enumerate(b.schema.names) if x not in names]
                 made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *made], [*(b.schema.names[i] for i in kept), *names])
+            give_back()
 
         out = spark.createDataFrame([], schema).schema
         full = docs.schema.__class__([*docs.schema.fields, *out.fields])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import settle
+from graphloom.llm.common import give_back, settle
 from graphloom.llm.tokens import in_parts, vocabulary_path, word_ids
 
 CAPACITY, END_ID = 2048, 0
@@ -91,6 +91,7 @@ def _local(path: str, capacity: int):
                 rows, bins = [], bins + n
                 yield table
         yield _table(rows, bins, capacity)[0]
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_texts, settle
+from graphloom.llm.common import byte_texts, give_back, settle
 from graphloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -51,6 +51,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in byte_texts(b.column(1))], pa.int64())], ["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,6 +97,7 @@ def _compare(radius: int):
                 u.append(a[rows[differ]])
                 v.append(b[cols[differ]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (u, v)], ["u", "v"])
+        give_back()
 
     return run
 

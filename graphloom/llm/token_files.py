@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import new_path
+from graphloom.llm.common import give_back, new_path
 from graphloom.llm.tokens import in_parts, vocabulary_path, word_ids
 
 END_ID = 2
@@ -39,6 +39,7 @@ def _encode(path: str, end_id: int):
                 columns = [batch.column(0)[i:j], pa.array(np.full(j - i, part, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "ids"])
                 start += int(at[-1])
+        give_back()
 
     return run
 
@@ -73,6 +74,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = lists.offsets.to_numpy().astype(np.int64)
         crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at, at[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def digests(files: DataFrame) -> DataFrame:

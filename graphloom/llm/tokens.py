@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Words in each of a worker's two generations, the longest that it remembers, and the characters handled at once.
-REMEMBERED, LONGEST, AT_ONCE = 450_000, 64, 12 << 20
+REMEMBERED, LONGEST, AT_ONCE = 250_000, 64, 4 << 20
 #: A plain piece: Latin letters that str.lower() and the tokenizer lower alike, one by one, then a run of marks (no quote, bar or bracket
 #: that a contraction or special token could begin with). The tokenizer takes the letters as one word, the marks as another.
 PLAIN = r"^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
