@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import new_path, settle
 
 ARCHIVE, INDEX, MIN_REVISIT, RANGES = "archive/data.warc", "indexes/index.cdx", 1000, 2000
+#: Copied payloads that are sent to every task at most (about 100 bytes each).
+BROADCAST_ROWS = 50_000
 #: Sizes from which ZIP64 fields are needed.
 LIMIT32, LIMIT16 = 0xFFFFFFFF, 0xFFFF
 DATE = "2024-01-01T00:00:00Z"
@@ -215,15 +217,18 @@ def _write(target: str):
     return run
 
 
-def with_references(pages: DataFrame) -> DataFrame:
+def with_references(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, html (binary), sha1, refers_to: the largest page_id among equal payloads of MIN_REVISIT bytes or more, else null.
 
-    Only digests are grouped; copies meet by their digest in an ordinary join, whose large partitions can be split.
+    A first pass groups digests alone. The payloads that occur more than once are counted: up to ``broadcast_rows`` of them are sent to
+    every task and no page is shuffled; beyond that, pages meet them in an ordinary join, whose large partitions can be split.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("sha1", F.sha1("html"))
     long = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(long.select("sha1", "largest"), "sha1", "left")
+    long = settle(long.select("sha1", "largest"), "copied")
+    few = long.limit(broadcast_rows + 1).count() <= broadcast_rows
+    joined = rows.join(F.broadcast(long) if few else long.hint("merge"), "sha1", "left")
     refers = F.when((F.octet_length("html") >= MIN_REVISIT) & (F.col("page_id") < F.col("largest")), F.col("largest"))
     return joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
