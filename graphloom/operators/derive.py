@@ -18,18 +18,18 @@ AMBIGUOUS, COLLISION, UNSURE, ANCESTORS = 0.8, 0.3, 0.5, 16
 VIEWS = ("erb",)
 
 
-def co_changes(commits: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
+def co_changes(commits: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
     """O-J13, O-A14: a, b, pairs, strength: pairs of files of different directories in one commit, against the busier file's commits.
 
-    Commits of more than most files are bulk edits and are left out, which also bounds the pairs a commit can give.
+    A commit's pairs grow with the square of its files; most, if given, leaves out bulk edits of more files.
     """
     files = commits.select("commit_id", "path").distinct()
-    small = files.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("commit_id")
-    files = files.join(small, "commit_id", "left_semi")
+    per = files.groupBy("path").agg(F.count("*").alias("n"))
+    if most is not None:
+        files = files.join(files.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("commit_id"), "commit_id", "left_semi")
     a = files.select("commit_id", F.col("path").alias("a"), paths.area(F.col("path")).alias("da"))
     b = files.select("commit_id", F.col("path").alias("b"), paths.area(F.col("path")).alias("db"))
     pairs = a.join(b, "commit_id").where("a < b and da <> db").groupBy("a", "b").agg(F.count("*").alias("pairs")).where(F.col("pairs") >= least)
-    per = files.groupBy("path").agg(F.count("*").alias("n"))
     out = pairs.join(per.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(per.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "pairs", F.round(F.col("pairs") / F.greatest("na", "nb"), 6).alias("strength"))
 
@@ -96,7 +96,7 @@ def resolve(g: Graph, pending: DataFrame, closure: DataFrame | None = None) -> D
     first = exact.where(ungated).drop("fits").unionByName(_allowed(exact.where(~ungated)).drop("fits"))
     open_ = p.withColumnRenamed("kind", "kind_p").where(~ungated).join(named, "edge_no", "left_anti")
     scopes = F.split(F.regexp_replace("source_qualified", r"::|[#.\\]", "\x1f"), "\x1f")
-    sep = F.when(text.separator(F.col("source_qualified")) == "", "::").otherwise(text.separator(F.col("source_qualified")))
+    sep = F.when(F.col("source_qualified").contains("\\"), "\\").when(F.col("source_qualified").contains(".") & ~F.col("source_qualified").rlike("::|#"), ".").otherwise("::")
     prefix = F.transform(F.sequence(F.size(scopes), F.lit(1), F.lit(-1)), lambda k: F.concat(F.array_join(F.slice(scopes, F.lit(1), k), "\x1f"), F.lit("\x1f"), F.col("wanted")))
     lexical = open_.where(F.col("kind_p").isin("inherits", "composes")).withColumn("sep", sep).select("*", F.posexplode(prefix).alias("depth", "scoped"))
     lexical = lexical.withColumn("scoped", F.replace("scoped", F.lit("\x1f"), F.col("sep"))).join(refs.where(F.col("kind").isin(*CONTAINERS)), F.col("scoped") == F.col("qualified"))

@@ -271,7 +271,7 @@ def _(g, spark, sf):
     return cv.detect(g)
 
 
-_CO = ", f AS (SELECT commit_id, path, split_part(path, '/', 1) AS d FROM commits WHERE commit_id IN (SELECT commit_id FROM commits GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)), n AS (SELECT path, count(*) AS n FROM f GROUP BY 1)"
+_CO = ", f AS (SELECT commit_id, path, split_part(path, '/', 1) AS d FROM commits), n AS (SELECT path, count(*) AS n FROM f GROUP BY 1)"
 
 
 @case(
