@@ -5,8 +5,8 @@ estimate of the transformed statistics, by concentration steps. A document is re
 repetition, or for a Mahalanobis distance beyond the cutoff on the side that junk lies on.
 
 Defined results: a null text is empty (no words, base_failed). Null lang or source form groups of their own. Groups under
-``min_group`` rows are judged by the base rules alone. Repeated rows are judged one by one. Extra columns pass through;
-names starting with ``_q_`` are reserved.
+``min_group`` rows are judged by the base rules alone. Repeated rows are judged one by one. Extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Share of a group that the estimate rests on, concentration steps, bins per e-fold of a squared distance.
 SUPPORT, STEPS, BINS = 0.75, 3, 64
+#: Groups (of about 300 bytes) that are sent to every task at most; more are joined, and large partitions split.
+GROUPS = 10_000
 #: Smallest spread of each transformed statistic: log words, log word length, log symbols per 100, log repeated lines, repeated share.
 FLOORS = (0.5, 0.08, 0.35, 0.5, 0.06)
 FEATURES = len(FLOORS)
@@ -110,6 +112,11 @@ def _log_bin(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * BINS).cast("int")
 
 
+def _few(table: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """A settled table of one row per group, to be sent to every task if it is short, which spares shuffling the documents by group."""
+    return F.broadcast(table) if table.limit(groups + 1).count() <= groups else table
+
+
 def fit_mcd(stats: DataFrame, min_group: int = 50) -> DataFrame:
     """One row per (lang_key, source_key): centre, factor and consistency scale of the minimum-covariance-determinant estimate.
 
@@ -124,10 +131,10 @@ def fit_mcd(stats: DataFrame, min_group: int = 50) -> DataFrame:
     model = model.where(F.col("n") >= min_group).drop("n").withColumns({f"l_{i}_{j}": F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
     model = settle(model, "mcd")
     for _ in range(STEPS):
-        near = _with_distance(stats.join(model, keys), d).withColumn("bin", _log_bin(F.col("d2")))
-        cut = _quantile_bin(near, keys, F.col("bin"), SUPPORT, "cut").drop("cut_n")
+        near = _with_distance(stats.join(_few(model), keys), d).withColumn("bin", _log_bin(F.col("d2")))
+        cut = settle(_quantile_bin(near, keys, F.col("bin"), SUPPORT, "cut").drop("cut_n"), "cut")
         z = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(d)]
-        sums = near.join(cut, keys).where(F.col("bin") <= F.col("cut")).groupBy(*keys).agg(
+        sums = near.join(_few(cut), keys).where(F.col("bin") <= F.col("cut")).groupBy(*keys).agg(
             F.count("*").alias("n"), *(F.first(f"m_{i}").alias(f"o_{i}") for i in range(d)), *(F.sum(z[i]).alias(f"s_{i}") for i in range(d)),
             *(F.sum(z[i] * z[j]).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)),
         )
@@ -136,33 +143,45 @@ def fit_mcd(stats: DataFrame, min_group: int = 50) -> DataFrame:
         for name, v in _cholesky(cov, d).items():
             sums = sums.withColumn(name, v)
         model = settle(sums.select(*keys, *((F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1))), "mcd")
-    middle = _quantile_bin(_with_distance(stats.join(model, keys), d), keys, _log_bin(F.col("d2")), 0.5, "mid").drop("mid_n")
+    middle = _quantile_bin(_with_distance(stats.join(_few(model), keys), d), keys, _log_bin(F.col("d2")), 0.5, "mid").drop("mid_n")
     scale = F.greatest(F.exp((F.col("mid") + 1) / BINS) / CHI2_MEDIAN, F.lit(1.0))
     return settle(model.join(middle, keys).withColumn("scale", scale).drop("mid"), "mcd")
 
 
-def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, min_group: int = 50, keep_text: bool = True) -> DataFrame:
-    """docs (without the text unless keep_text) with the statistics, base_failed, distance2 (null without an estimate) and kept.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
 
-    Only deviations on the junk side count towards the distance of a rejected document: a document longer than its group, or one
-    with fewer symbols or repeats, is never rejected for that.
-    """
-    keys = {"lang_key": F.coalesce("lang", F.lit("")), "source_key": F.coalesce("source", F.lit(""))}
-    stats = text_stats(docs, text)
-    stats = settle(stats if keep_text else stats.drop(text), "quality")
+
+def _judged(docs: DataFrame, text: str, cutoff: float, min_group: int, keep_text: bool) -> DataFrame:
+    """The documents' own columns as _q_c0, _q_c1, .. (so that no name clashes), and RESULTS."""
+    own = {c: f"_q_c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(q) for c, q in own.items()))
+    keys = {"lang_key": F.coalesce(own["lang"], F.lit("")), "source_key": F.coalesce(own["source"], F.lit(""))}
+    stats = text_stats(docs, own[text])
+    stats = settle(stats if keep_text else stats.drop(own[text]), "quality")
     named = stats.withColumns(keys | {f"z_{i}": f / w for i, (f, w) in enumerate(zip(_features(), FLOORS, strict=True))})
     model = fit_mcd(named.where(~base_failed()).select(*keys, *(f"z_{i}" for i in range(FEATURES))), min_group)
     sided = {"z_0": F.least("z_0", "m_0"), **{f"z_{i}": F.greatest(f"z_{i}", f"m_{i}") for i in (2, 3, 4)}}
-    joined = named.join(model, [*keys], "left")
+    joined = named.join(_few(model), [*keys], "left")
     d2 = _with_distance(joined.withColumns(sided), FEATURES).withColumn("distance2", F.col("d2") / F.col("scale"))
     out = d2.withColumn("base_failed", base_failed())
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True)))
-    return out.select(*(F.col(f"`{c}`") for c in stats.columns), "base_failed", "distance2", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).select(*(c for c in stats.columns if c.startswith("_q_")), *RESULTS)
+
+
+def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, min_group: int = 50, keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless keep_text) with the statistics, base_failed, distance2 (null without an estimate) and kept.
+
+    Only deviations on the junk side count towards the distance of a rejected document: a document longer than its group, or one
+    with fewer symbols or repeats, is never rejected for that. Columns of docs that have a result's name give way to it.
+    """
+    out = _judged(docs, text, cutoff, min_group, keep_text)
+    own = [F.col(f"_q_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in RESULTS and (keep_text or c != text)]
+    return out.select(*own, *RESULTS)
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return judge(docs).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = _judged(docs, "text", CUTOFF, 50, True).where("kept")
+    return kept.select(*(F.col(f"_q_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

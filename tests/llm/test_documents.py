@@ -59,6 +59,15 @@ def _counts(xs):
     return out
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, unlike(60, i), "en", "s", 0, 7, "x", 1.5, True, 2, "w") for i in range(60)], SCHEMA + ", N_words int, kept string, d2 double, bin boolean, fp int, item_id string")
+    out = quality.stage(df)
+    assert out.columns == df.columns and out.count() == 60 and {(r.N_words, r.kept, r.d2) for r in out.collect()} == {(7, "x", 1.5)}
+    assert quality.judge(df).columns.count("n_words") == 1
+    assert simhash.stage(df).columns == secrets.stage(df).columns == df.columns
+    assert packing.pack(df).count() == 60 and pii.find(df.select("doc_id", "text", "fp")).count() == 60
+
+
 def test_quality_rejects_outliers_only(spark):
     rng = np.random.default_rng(3)
     rows = [(i, unlike(int(rng.integers(60, 400)), i), "en", "s", 0) for i in range(300)]
