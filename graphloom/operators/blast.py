@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from graphloom.functions import paths
 from graphloom.functions.shared import settle
-from graphloom.model import CONTAINERS, FOLLOWED, Graph
+from graphloom.model import FOLLOWED, Graph
 
 #: Decay by kind, floor of stored edges, floor of structural kinds.
 DECAY = {"inherits": 0.7, "composes": 0.5, "includes": 0.3, "tests": 0.5}
@@ -186,6 +186,3 @@ def laundered(g: Graph, found: DataFrame) -> DataFrame:
     held = held.join(found.select("seed", "symbol_id"), ["seed", "symbol_id"], "left_anti")
     place = held.join(g.symbols.select("symbol_id", "file_id"), "symbol_id").join(g.files.select("file_id", "path"), "file_id").withColumn("is_test", paths.blast_test(F.col("path")))
     return place.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("is_test", "symbol_id"))).drop("file_id")
-
-
-__all__ = ["COMMAND", "CONTAINERS", "ENGINE", "TOOL", "Options"]

@@ -9,7 +9,6 @@ from graphloom.operators import conventions as cv
 from graphloom.operators import dead as dd
 from graphloom.operators import derive as dv
 from graphloom.operators import graph as gr
-from graphloom.plans import cases_core
 from graphloom.plans.cases_core import AREA, TEST_LIKE
 from graphloom.sources import projection as pj
 
@@ -309,6 +308,3 @@ def _(g, spark, sf):
 @case("O5_dispatch", "SELECT DISTINCT m.symbol_id, i.symbol_id AS interface_method FROM symbols m JOIN edges e ON e.source_id = m.parent_id AND e.kind = 'inherits' JOIN symbols i ON i.parent_id = e.target_id AND i.name = m.name AND i.kind = 'method' WHERE m.kind = 'method'")
 def _(g, spark, sf):
     return gr.dispatch(g)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "cases_core"]

@@ -353,6 +353,3 @@ def _(spark, sf):
     docs = pj.table(spark, sf, "documents").withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     sites = docs.where("doc_id between 10 and 19").select("path", F.lit(2).alias("line"))
     return present.snippets(sites, ft.lines(docs, "path", "text"))
-
-
-
