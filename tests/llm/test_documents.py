@@ -151,7 +151,7 @@ def test_simhash_stage(spark, odd):
     kept = simhash.stage(odd)
     assert kept.columns == odd.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == [0, 3, 4, 5, 8, 9, 10, 11] or ids == sorted({c for c in brute_classes(simhash.fingerprints(odd).collect(), 3).values() if c is not None})
+    assert ids == sorted({c for c in brute_classes(simhash.fingerprints(odd).collect(), 3).values() if c is not None})
     assert len(ids) == len(set(ids))
     assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id"]
 

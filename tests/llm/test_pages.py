@@ -6,7 +6,6 @@ import re
 import zipfile
 
 import pyarrow as pa
-import pyarrow.fs
 import pytest
 
 from graphloom.llm import chat, extract, html_tree, warc, wrappers
@@ -70,10 +69,6 @@ def test_warc(spark):
     assert warc.read(warc.write(df.limit(0), target + "-none"), target + "-none", warc.summaries, warc.FOUND).count() == 0
 
 
-def reader(raw: bytes):
-    return pa.PythonFile(io.BytesIO(raw), mode="r")
-
-
 class _Sized(io.BytesIO):
     def size(self):
         return len(self.getvalue())
