@@ -84,7 +84,7 @@ def _(g, spark, sf):
 @case(
     "W7_top_callers",
     """, c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'calls' AND target_id BETWEEN 3000000000 AND 3999999999 AND target_id % 50 = 0),
- r AS (SELECT target_id, qualified AS caller, row_number() OVER (PARTITION BY target_id ORDER BY qualified, source_id) AS rank FROM c JOIN symbols ON symbol_id = source_id) SELECT * FROM r WHERE rank <= 3""",
+ r AS (SELECT target_id, qualified AS caller, row_number() OVER (PARTITION BY target_id ORDER BY qualified, source_id)::INT AS rank FROM c JOIN symbols ON symbol_id = source_id) SELECT * FROM r WHERE rank <= 3""",
 )
 def _(g, spark, sf):
     return ag.top_callers(g, g.symbols.where("kind = 'function' and symbol_id % 50 = 0"))
@@ -261,7 +261,7 @@ def _(g, spark, sf):
 @case(
     "W8_round_robin",
     f""", a AS (SELECT symbol_id, path, {AREA.format('path')} AS area, ends_with(path, '_test.go') AS is_test FROM symbols JOIN files USING (file_id) WHERE kind = 'interface'),
- b AS (SELECT *, count(*) OVER (PARTITION BY area) AS size, row_number() OVER (PARTITION BY area ORDER BY is_test, symbol_id) AS turn FROM a) SELECT symbol_id, area, size, turn FROM b ORDER BY turn, size DESC, area LIMIT 60""",
+ b AS (SELECT *, count(*) OVER (PARTITION BY area) AS size, row_number() OVER (PARTITION BY area ORDER BY is_test, symbol_id)::INT AS turn FROM a) SELECT symbol_id, area, size, turn FROM b ORDER BY turn, size DESC, area LIMIT 60""",
 )
 def _(g, spark, sf):
     rows = g.symbols.where("kind = 'interface'").join(g.files, "file_id").withColumn("is_test", paths.blast_test(F.col("path")))

@@ -49,7 +49,7 @@ def _(g, spark, sf):
     return gr.lookup(g, "order13")
 
 
-@case("J17_fuzzy", "SELECT symbol_id, name, qualified, s.kind, path, line_start, 'fuzzy' AS resolution, levenshtein(lower(qualified), 'suplier#00000007') AS distance FROM symbols s JOIN files USING (file_id) WHERE levenshtein(lower(qualified), 'suplier#00000007') <= 2 ORDER BY distance, qualified, symbol_id LIMIT 5")
+@case("J17_fuzzy", "SELECT symbol_id, name, qualified, s.kind, path, line_start, 'fuzzy' AS resolution, levenshtein(lower(qualified), 'suplier#00000007')::INT AS distance FROM symbols s JOIN files USING (file_id) WHERE levenshtein(lower(qualified), 'suplier#00000007') <= 2 ORDER BY distance, qualified, symbol_id LIMIT 5")
 def _(g, spark, sf):
     return gr.lookup(g, "Suplier#00000007")
 
@@ -85,7 +85,7 @@ def _(g, spark, sf):
 
 @case(
     "W5_blast_capped",
-    "SELECT symbol_id, hop, row_number() OVER (ORDER BY ends_with(path, '_test.go'), c DESC, (hop <= 1) DESC, coalesce(fan, 0) DESC, symbol_id) AS rank FROM v2 JOIN symbols s USING (symbol_id) JOIN files USING (file_id) LEFT JOIN (SELECT target_id, count(*) AS fan FROM edges GROUP BY 1) ON target_id = symbol_id WHERE hop > 0 QUALIFY rank <= 100",
+    "SELECT symbol_id, hop, row_number() OVER (ORDER BY ends_with(path, '_test.go'), c DESC, (hop <= 1) DESC, coalesce(fan, 0) DESC, symbol_id)::INT AS rank FROM v2 JOIN symbols s USING (symbol_id) JOIN files USING (file_id) LEFT JOIN (SELECT target_id, count(*) AS fan FROM edges GROUP BY 1) ON target_id = symbol_id WHERE hop > 0 QUALIFY rank <= 100",
     _hops(2),
 )
 def _(g, spark, sf):
