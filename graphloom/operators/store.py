@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import model
+from graphloom.functions.shared import settle
 from graphloom.model import Graph
 
 FILE_KEY, SYMBOL_KEY, EDGE_KEY = ("path",), ("file_id", "qualified"), ("source_id", "target_id", "kind", "file_id")
@@ -117,6 +118,11 @@ class Versions:
         return Graph(*(self.spark.read.parquet(f"{self.root}/v={v}/{name}") for name in ("files", "symbols", "edges")))
 
 
+def pinned(g: Graph) -> Graph:
+    """The graph as tables in the shared folder: for traversals over a graph that is itself a query, which each hop would run anew."""
+    return replace(g, files=settle(g.files, "files"), symbols=settle(g.symbols, "symbols"), edges=settle(g.edges, "edges"))
+
+
 def empty(spark: SparkSession) -> Graph:
     made = [spark.createDataFrame([], s) for s in (model.FILES, model.SYMBOLS, model.EDGES, model.KEY_VALUES, model.EMBEDDINGS)]
     return Graph(*made)

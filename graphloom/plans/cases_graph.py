@@ -9,15 +9,18 @@ from graphloom.operators import conventions as cv
 from graphloom.operators import dead as dd
 from graphloom.operators import derive as dv
 from graphloom.operators import graph as gr
+from graphloom.operators import store
 from graphloom.plans.cases_core import AREA, TEST_LIKE
 from graphloom.sources import projection as pj
 
 QUERIES, ORACLE_SQL = {}, {}
+#: Queries that read the graph many times over.
+ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "G5_bfs_capped", "D5_unreferenced", "D7_verdicts", "D15_grouped"}
 
 
 def case(name: str, sql: str | None = None, extra: str = ""):
     def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(pj.graph(spark, sf_dir), spark, sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: f(store.pinned(pj.graph(spark, sf_dir)) if name in ITERATED else pj.graph(spark, sf_dir), spark, sf_dir)
         if sql is not None:
             ORACLE_SQL[name] = f"WITH RECURSIVE {pj.SQL}{extra} {sql}"
         return f

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text
 from graphloom.operators import fulltext as ft
-from graphloom.operators import scoring, search, vector
-from graphloom.operators import present
+from graphloom.operators import present, scoring, search, vector
 from graphloom.sources import extractors, manifests
 from graphloom.sources import projection as pj
 from graphloom.streaming import incremental
