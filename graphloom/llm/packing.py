@@ -28,6 +28,8 @@ from graphloom.llm.tokens import in_parts, vocabulary_path, word_ids
 CAPACITY, END_ID = 2048, 0
 #: Rounds: former groups to a group, free places of a nearly full sequence, pieces that a task gathers.
 FAN, SLACK, GATHER = 8, 16, 250_000
+#: Words that a worker's tokenizer remembers, and bytes of text handled at once: small, as packing runs beside full heaps.
+REMEMBERED, AT_ONCE = 150_000, 2 << 20
 COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill")
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int"
 
@@ -78,11 +80,11 @@ def _table(rows: list[tuple], first_bin: int, capacity: int) -> tuple[pa.RecordB
 
 def _local(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows = word_ids(path), []
+        encoder, rows = word_ids(path, REMEMBERED), []
         bins = TaskContext.get().partitionId() << 32
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, j in in_parts(texts):
+            for i, j in in_parts(texts, AT_ONCE):
                 ids, at = encoder.flat(texts[i:j], END_ID)
                 for doc, a, b in zip(docs[i:j], at.tolist(), at[1:].tolist(), strict=False):
                     rows += pieces(doc, ids[a:b], capacity)

@@ -137,14 +137,14 @@ def gathered(known: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndar
     return taken(np.frombuffer(b"".join(known), "<u4"), begins, which)
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each worker and file."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    """One for each worker, file and size of memory."""
+    if (path, remembered) not in _loaded:
+        _loaded[path, remembered] = WordIds(path, remembered)
+    return _loaded[path, remembered]
 
 
 def in_parts(texts: pa.Array, size: int = AT_ONCE):
