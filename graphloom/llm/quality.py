@@ -4,8 +4,10 @@ Per document: word, symbol, repeated-line and repeated-window counts. Per (lang,
 estimate of the transformed statistics, by concentration steps. A document is rejected for too few words, for too much
 repetition, or for a Mahalanobis distance beyond the cutoff on the side that junk lies on.
 
-Defined results: a null text is empty (no words, base_failed). Null lang or source form groups of their own. Groups under
-``min_group`` rows are judged by the base rules alone. Repeated rows are judged one by one. Extra columns pass through,
+A group of fewer than ``min_group`` rows past the base rules is judged by the estimate of its language, made in the same way from all
+rows of that language, or of the whole table if the language has too few as well.
+
+Defined results: a null text is empty (no words, base_failed). Null lang or source form groups of their own. Repeated rows are judged one by one. Extra columns pass through,
 whatever their names.
 """
 
@@ -117,14 +119,14 @@ def _few(table: DataFrame, groups: int = GROUPS) -> DataFrame:
     return F.broadcast(table) if table.limit(groups + 1).count() <= groups else table
 
 
-def fit_mcd(stats: DataFrame, min_group: int = 50) -> DataFrame:
-    """One row per (lang_key, source_key): centre, factor and consistency scale of the minimum-covariance-determinant estimate.
+def fit_mcd(stats: DataFrame, min_group: int = 50, keys: tuple[str, ...] = ("lang_key", "source_key")) -> DataFrame:
+    """One row per group of keys that has min_group rows: centre, factor and consistency scale of the minimum-covariance-determinant estimate.
 
-    stats: rows with lang_key, source_key and z_0.. (statistics over their floors). The start is the coordinate medians with unit
+    stats: rows with keys and z_0.. (statistics over their floors). The start is the coordinate medians with unit
     spread; each step keeps the ``SUPPORT`` share nearest the centre and estimates anew. Only counts per bin and sums per group are
     shuffled. The floor is added to each variance, so that a statistic that is constant in the core has a finite distance.
     """
-    d, keys = FEATURES, ["lang_key", "source_key"]
+    d, keys = FEATURES, list(keys)
     long = stats.select(*keys, F.posexplode(F.array(*(F.col(f"z_{i}") for i in range(d)))).alias("f", "z"))
     medians = _quantile_bin(long, [*keys, "f"], F.floor(F.col("z") * 32).cast("int"), 0.5, "med")
     model = medians.groupBy(*keys).agg(F.max("med_n").alias("n"), *(F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / 32)).alias(f"m_{i}") for i in range(d)))
@@ -148,6 +150,24 @@ def fit_mcd(stats: DataFrame, min_group: int = 50) -> DataFrame:
     return settle(model.join(middle, keys).withColumn("scale", scale).drop("mid"), "mcd")
 
 
+def fit_all(stats: DataFrame, min_group: int = 50) -> DataFrame:
+    """One row for every (lang_key, source_key) of stats: its own estimate, or that of its language, or that of all rows."""
+    whole = stats.withColumn("whole_key", F.lit(0))
+    groups = whole.groupBy("whole_key", "lang_key", "source_key").agg(F.count("*").alias("n"))
+    groups = settle(groups.withColumn("n_lang", F.sum("n").over(W.partitionBy("lang_key"))), "groups")
+    small = groups.where(F.col("n") < min_group)
+    levels = [(fit_mcd(stats, min_group), ["lang_key", "source_key"])]
+    if not small.isEmpty():
+        pooled = small.where(F.col("n_lang") >= min_group).select("lang_key").distinct()
+        levels.append((fit_mcd(stats.join(_few(pooled), "lang_key", "left_semi"), min_group, ("lang_key",)), ["lang_key"]))
+    if not small.where(F.col("n_lang") < min_group).isEmpty():
+        levels.append((fit_mcd(whole, 1, ("whole_key",)), ["whole_key"]))
+    for k, (model, keys) in enumerate(levels):
+        estimate = F.struct(*(c for c in model.columns if c not in keys)).alias(f"level_{k}")
+        groups = groups.join(model.select(*keys, estimate), keys, "left")
+    return settle(groups.select("lang_key", "source_key", F.coalesce(*(f"level_{k}" for k in range(len(levels)))).alias("e")).select("lang_key", "source_key", "e.*"), "mcd")
+
+
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
 
 
@@ -159,7 +179,7 @@ def _judged(docs: DataFrame, text: str, cutoff: float, min_group: int, keep_text
     stats = text_stats(docs, own[text])
     stats = settle(stats if keep_text else stats.drop(own[text]), "quality")
     named = stats.withColumns(keys | {f"z_{i}": f / w for i, (f, w) in enumerate(zip(_features(), FLOORS, strict=True))})
-    model = fit_mcd(named.where(~base_failed()).select(*keys, *(f"z_{i}" for i in range(FEATURES))), min_group)
+    model = fit_all(named.where(~base_failed()).select(*keys, *(f"z_{i}" for i in range(FEATURES))), min_group)
     sided = {"z_0": F.least("z_0", "m_0"), **{f"z_{i}": F.greatest(f"z_{i}", f"m_{i}") for i in (2, 3, 4)}}
     joined = named.join(_few(model), [*keys], "left")
     d2 = _with_distance(joined.withColumns(sided), FEATURES).withColumn("distance2", F.col("d2") / F.col("scale"))
@@ -168,7 +188,7 @@ def _judged(docs: DataFrame, text: str, cutoff: float, min_group: int, keep_text
 
 
 def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, min_group: int = 50, keep_text: bool = True) -> DataFrame:
-    """docs (without the text unless keep_text) with the statistics, base_failed, distance2 (null without an estimate) and kept.
+    """docs (without the text unless keep_text) with the statistics, base_failed, distance2 (null in a group of which nothing passes the base rules) and kept.
 
     Only deviations on the junk side count towards the distance of a rejected document: a document longer than its group, or one
     with fewer symbols or repeats, is never rejected for that. Columns of docs that have a result's name give way to it.

@@ -76,6 +76,18 @@ def test_quality_rejects_outliers_only(spark):
     assert kept == set(range(300))
 
 
+@pytest.mark.parametrize("lang", ["en", "de", None])
+def test_quality_judges_small_groups(spark, lang):
+    """Junk in sources under min_group goes by its language's estimate, or by the whole table's where the language is small too."""
+    rng = np.random.default_rng(4)
+    rows = [(i, unlike(int(rng.integers(60, 400)), i), "en", "s", 0) for i in range(200)]
+    rows += [(500 + i, unlike(int(rng.integers(60, 400)), 500 + i), lang, f"tail{i % 3}", 0) for i in range(20)]
+    rows += [(1000 + i, " ".join(w + "***" for w in unlike(200, 1000 + i).split()), lang, f"tail{i % 4}", 0) for i in range(6)]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[0] < 1000}
+    assert all(r.distance2 is not None for r in got)
+
+
 def test_quality_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(5)
     z = rng.multivariate_normal(np.zeros(5), np.diag([4, 3, 2, 1, 5]) + 0.5, 4000)
