@@ -124,6 +124,27 @@ def test_extraction(spark):
     assert extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_places_leave_no_good_text_behind():
+    """Pages of one host, merged: head and lead beside the body, a story beside a teaser, articles of different keys."""
+
+    def texts(body):
+        pages = [SHELL.format(body=body.replace("{i}", str(i)).replace("{w}", f"words {i} " * 30)) for i in range(4)]
+        w = None
+        for p in pages:
+            node = wrappers.skeleton(html_tree.parse(p))
+            w = node if w is None else wrappers.merge(w, node)
+        return extract.main_text(pages[2], extract.places(w)), ("words 2 " * 30).strip()
+
+    got, long = texts("<div class=lead><h1>Head {i}</h1><p>Lead {i}</p></div><div class=body><p>{w}</p></div>")
+    assert got == f"Head 2\nLead 2\n{long}"
+    got, long = texts("<main><div class=story>{w}</div><article class=card>teaser {i}</article></main>")
+    assert got == f"{long}\nteaser 2"
+    got, long = texts("<article class=first>{w}</article><p>x</p><article class=second>more {i}</article>")
+    assert got == f"{long}\nmore 2"
+    got, long = texts("<main><nav>menu {i}</nav><article>{w}</article></main>")
+    assert got == long
+
+
 def test_wrappers_are_union_free():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>y</h2><p>z</p>", "<ul><li>c</li><li>d</li><li>e</li></ul><p>w</p>"]
     w = None
