@@ -28,7 +28,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "hidden": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[(\[](?:at|AT|@)[)\]]\x20?[{LABEL}]++(?:(?:\.|\x20?[(\[](?:dot|DOT|\.)[)\]]\x20?)[{LABEL}]++)++",
-    "number": r"(?<![0-9A-Za-z+.])[(]?[0-9][\x20().0-9-]{6,40}[0-9](?![0-9A-Za-z.])",
+    "number": r"(?<![0-9A-Za-z+.])[(]?[0-9](?:(?!\.\x20)[\x20().0-9-]){6,40}[0-9](?![0-9A-Za-z]|\.[0-9A-Za-z])",
 }
 OCTET = "^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 CONTEXT, PRECISION, FOLDS = 16, 0.99, 5

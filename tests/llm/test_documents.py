@@ -334,6 +334,13 @@ def test_pii_base(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_numbers_at_a_sentence_end(spark):
+    texts = {"call 555-123-4567.": "555-123-4567", "call (555) 123-4567. 8 more": "(555) 123-4567", "call 555-123-4567 now": "555-123-4567", "version 555-123-4567.x": None}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.scan(df).collect():
+        assert {r.text[x.s : x.e] for x in r._p_candidates if x.k == 3 and x.check} == ({texts[r.text]} - {None}), r.text
+
+
 def test_pii_long_runs_end(spark):
     assert pii.find(spark.createDataFrame([(1, "a" * 300_000 + " " + "1" * 300_000 + " " + "9 " * 200_000)], "doc_id long, text string")).first()._p_base == []
 
