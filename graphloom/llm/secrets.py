@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control, in DataFrame functions only.
 
 Candidates are runs of 20 characters or more of the base-64 alphabets. Each one's encoding is inferred, and its symbols are tested
-for uniformity (chi-squared), for runs about the middle of the alphabet, and for serial correlation; the squared deviates' sum is its
-distance from randomness. Runs of letters of one case are the natural words of the corpus: their distances, by class of length, are the
-null law (counted over all documents, in bins). A candidate's p-value is the share of natural runs as near to randomness as itself,
-and of all candidates those are reported that pass the Benjamini-Hochberg step-up at ``RATE`` within their class of length.
-
-Defined results: a null text is empty. Overlapping spans of different kinds all stay. Repeated rows are judged one by one. Without
-natural runs no span is added. Extra columns pass through stage(); names starting with ``_s_`` are reserved.
+for uniformity (chi-squared), for runs about the middle of the alphabet, and for serial correlation; the deviate of uniformity and the
+absolute deviates of the two others add up to its distance from randomness. The null law is that of natural compounds (words of letters as frequent as in Latin-script prose, numbers and
+separators as far as the encoding has them): the distance's median and its spread below that are simulated for each encoding and length with
+a fixed seed, so the law depends on no table. A candidate's p-value is the normal law's share below its deviate, which already takes its
+length into account; of all candidates those are reported that pass one Benjamini-Hochberg step-up at ``RATE``, over all lengths.
+
+Defined results: a null text is empty. Overlapping spans of different kinds all stay, so a random value of an assignment is in two
+spans. Repeated rows are judged one by one. Runs of digits alone are never reported: natural numbers are as random as secret ones.
+Extra columns pass through stage() and find(), whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+import random
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,8 @@ PATTERNS = {
     "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
 }
 ASSIGNED = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-LEAST_ASSIGNED, RATE, BINS = 8, 0.01, 8
-#: Encodings, the first that fits: name, pattern, symbols in order. 0 and 1 are natural runs.
+LEAST_ASSIGNED, RATE, BINS = 8, 0.01, 16
+#: Encodings, the first that fits: pattern, symbols in order.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [
     ("^[A-Za-z]?[a-z]+$", LOWER),
@@ -44,22 +48,74 @@ ENCODINGS = [
     ("^[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("", UPPER + LOWER + DIGITS + "+/-_="),
 ]
-NATURAL = 2
-
-
-def length_class(n: Column) -> Column:
-    """0 for 20 to 27 characters, then one more for each factor of the square root of two, 12 at most."""
-    return F.least(F.floor(2 * F.log2(n / 20.0)), F.lit(12)).cast("int")
+NUMBERS = 2
+#: Letters of Latin-script prose, a to z, per 1,000 (fixed values).
+PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Lengths at which the natural law is simulated (a factor of the square root of two apart; longer tokens take the last one's), tokens each.
+LENGTHS, TOKENS = tuple(round(20 * 2 ** (k / 2)) for k in range(9)), 200
+
+
+def compound(size: int, alphabet: str, dice: random.Random) -> str:
+    """A natural token: words of three to nine letters, numbers and separators, as far as the alphabet has them."""
+    lower = any(c in alphabet for c in LOWER)
+    letters, weights = zip(*((c if lower else c.upper(), w) for c, w in zip(LOWER, PROSE, strict=True) if (c if lower else c.upper()) in alphabet), strict=True)
+    camel = lower and "A" in alphabet and dice.random() < 0.7
+    between = dice.choice([c for c in "-_/" if c in alphabet] or [""]) if not camel or dice.random() < 0.5 else ""
+    out = ""
+    while len(out) < size:
+        word = "".join(dice.choices(letters, weights, k=dice.randint(3, 9)))
+        out += (word[0].upper() + word[1:] if camel else word) + between
+        if "0" in alphabet and dice.random() < 0.3:
+            out += str(dice.choices((dice.randint(1, 99), dice.randint(1900, 2099), dice.randint(100, 9999)), (5, 3, 2))[0]) + between
+    return out[:size]
+
+
+def distance(token: str, alphabet: str) -> float:
+    """What battery() computes, for one token of the alphabet's symbols."""
+    n, m = len(token), len(alphabet)
+    values = [alphabet.index(c) for c in token]
+    uniform = (m / n * sum(token.count(c) ** 2 for c in set(token)) - n - (m - 1)) / math.sqrt(2 * (m - 1))
+    high = [v >= m / 2 for v in values]
+    runs, h = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False)), sum(high)
+    expected = 2 * h * (n - h) / n + 1
+    mean = sum(values) / n
+    variance = max(sum(v * v for v in values) / n - mean * mean, 0.25)
+    serial = (sum(x * y for x, y in zip(values, values[1:], strict=False)) / (n - 1) - mean * mean) / variance * math.sqrt(n)
+    return uniform + abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25)) + abs(serial)
+
+
+@cache
+def natural_law() -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Median of the distance of natural compounds and its spread below the median, by encoding, then length; runs of digits have none."""
+    dice, means, spreads = random.Random(42), [], []
+    for k, (_, alphabet) in enumerate(ENCODINGS):
+        for size in LENGTHS:
+            found = sorted(distance(compound(size, alphabet, dice), alphabet) for _ in range(TOKENS)) if k != NUMBERS else [0.0]
+            means.append(found[len(found) // 2])
+            near = found[: len(found) // 2 + 1]
+            spreads.append(max(math.sqrt(sum((x - means[-1]) ** 2 for x in near) / len(near)), 1.0))
+    return tuple(means), tuple(spreads)
+
+
+def deviate(encoding: Column, n: Column, d: Column) -> Column:
+    """Deviate of a token's distance under the natural law of its encoding and length, by interpolation between lengths."""
+    means, spreads = (F.array(*map(F.lit, x)) for x in natural_law())
+    place = F.least(F.greatest(2 * F.log2(n / 20.0), F.lit(0.0)), F.lit(len(LENGTHS) - 1.0))
+    low = F.floor(place).cast("int")
+    at = encoding * len(LENGTHS) + low
+    up = encoding * len(LENGTHS) + F.least(low + 1, F.lit(len(LENGTHS) - 1))
+    between = lambda x: F.get(x, at) + (F.get(x, up) - F.get(x, at)) * (place - low)
+    return (d - between(means)) / between(spreads)
 
 
 def battery(token: Column) -> Column:
-    """(encoding, length class, bin of the distance from randomness) of a token."""
+    """(encoding, bin of the deviate under the natural law) of a token."""
     encoding = reduce(lambda rest, k: F.when(token.rlike(ENCODINGS[k][0]), F.lit(k)).otherwise(rest), reversed(range(len(ENCODINGS) - 1)), F.lit(len(ENCODINGS) - 1))
     alphabets = F.array(*(F.lit(a) for _, a in ENCODINGS))
 
     def tests(e: Column) -> Column:
         alphabet = F.get(alphabets, e)
-        x = F.when(e < NATURAL - 1, F.lower(token)).when(e == 1, F.upper(token)).otherwise(token)
+        x = F.when(e == 0, F.lower(token)).otherwise(token)
         n, m = F.length(x).cast("double"), F.length(alphabet).cast("double")
         squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda a, s: a + F.pow(n - F.length(F.replace(x, s, F.lit(""))), F.lit(2.0)))
         uniform = (m / n * squares - n - (m - 1)) / F.sqrt(2 * (m - 1))
@@ -72,16 +128,16 @@ def battery(token: Column) -> Column:
             return F.struct(v.alias("last"), (a["runs"] + F.when((a["last"] < 0) | (high != was), 1.0).otherwise(0.0)).alias("runs"), (a["high"] + F.when(high, 1.0).otherwise(0.0)).alias("high"),
                             (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), (a["c"] + F.when(a["last"] < 0, 0.0).otherwise(v * a["last"])).alias("c"))
 
-        def distance(a: Column) -> Column:
+        def total(a: Column) -> Column:
             expected = 2 * a["high"] * (n - a["high"]) / n + 1
             spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.25))
             mean = a["s"] / n
             variance = F.greatest(a["q"] / n - mean * mean, F.lit(0.25))
             serial = ((a["c"] / (n - 1)) - mean * mean) / variance * F.sqrt(n)
-            return uniform * uniform + F.pow(a["runs"] - expected, F.lit(2.0)) / spread + serial * serial
+            return uniform + F.abs(a["runs"] - expected) / F.sqrt(spread) + F.abs(serial)
 
-        d = F.aggregate(values, state, step, distance)
-        return F.struct(e.alias("enc"), length_class(n).alias("len"), F.floor(F.log1p(d) * BINS).cast("int").alias("bin"))
+        d = F.aggregate(values, state, step, total)
+        return F.struct(e.alias("enc"), F.floor(deviate(e, n, d) * BINS).cast("int").alias("bin"))
 
     return F.element_at(F.transform(F.array(encoding), tests), 1)
 
@@ -91,65 +147,66 @@ def _of_kind(k: int):
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _s_base (k, s, e by start, then kind) and _s_tests (s, e, enc, len, bin of each candidate)."""
-    df = docs.withColumn("_s_t", spans.markable(F.col(text)))
-    df = df.select(*(F.col(f"`{c}`") for c in docs.columns), *(spans.pieces(F.col("_s_t"), p).alias(f"_s_p_{k}") for k, p in PATTERNS.items()))
-    df = df.select(*(F.col(f"`{c}`") for c in docs.columns), *(spans.placed(f"_s_p_{k}").alias(f"_s_{k}") for k in PATTERNS))
+    """docs with _s_base (k, s, e by start, then kind) and _s_tests (s, e, enc, bin of each candidate)."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    df = docs.select(*own, spans.markable(F.col(text)).alias("_s_t"))
+    df = df.select(*own, *(spans.pieces(F.col("_s_t"), p).alias(f"_s_p_{k}") for k, p in PATTERNS.items()))
+    df = df.select(*own, *(spans.placed(f"_s_p_{k}").alias(f"_s_{k}") for k in PATTERNS))
     found = F.filter("_s_assign", lambda x: F.length(F.regexp_extract(x["v"], ASSIGNED, 1)) >= LEAST_ASSIGNED)
     base = [F.transform(a, _of_kind(k)) for k, a in enumerate([found, F.col("_s_access"), F.col("_s_hex")])]
     tests = F.transform("_s_random", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["v"]).alias("t")))
-    flat = F.transform(tests, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"]["enc"].alias("enc"), x["t"]["len"].alias("len"), x["t"]["bin"].alias("bin")))
+    flat = F.transform(tests, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"]["enc"].alias("enc"), x["t"]["bin"].alias("bin")))
     ordered = F.transform(F.sort_array(F.concat(*base)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns), ordered.alias("_s_base"), flat.alias("_s_tests"))
-
-
-def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """Per class of length the largest bin that is reported. Both tables have a row per class and bin at most, whatever the input.
-
-    A class without natural runs takes those of all classes: longer natural runs lie further from randomness, so this is cautious.
-    """
-    rows = scanned.select(F.explode("_s_tests").alias("x")).groupBy("x.len", "x.bin", (F.col("x.enc") < NATURAL).alias("natural")).agg(F.count("*").alias("n")).collect()
-    natural, tested = [r for r in rows if r.natural], [r for r in rows if not r.natural]
-    out = {}
-    for c in {r.len for r in tested}:
-        own = [r for r in natural if r.len == c] or natural
-        total = sum(r.n for r in own)
-        m = sum(r.n for r in tested if r.len == c)
-        for b in sorted({r.bin for r in tested if r.len == c}):
-            p = (1 + sum(r.n for r in own if r.bin <= b)) / (1 + total)
-            if total and p <= rate * sum(r.n for r in tested if r.len == c and r.bin <= b) / m:
-                out[c] = b
-    return out
-
-
-def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs (without the text unless keep_text) with _s_base and _s_spans (k, s, e by start, then kind)."""
-    scanned = scan(docs, text)
-    scanned = settle(scanned if keep_text else scanned.drop(text), "secrets")
-    cut = thresholds(scanned)
-    chosen = lambda x: reduce(lambda a, c: a | ((x["len"] == c[0]) & (x["bin"] <= c[1])), cut.items(), F.lit(False)) & (x["enc"] >= NATURAL)
+    return df.select(*own, ordered.alias("_s_base"), flat.alias("_s_tests"))
+
+
+def threshold(scanned: DataFrame, rate: float = RATE) -> int | None:
+    """The largest bin that the step-up over all candidates reports, or None. The table has a row per bin at most, whatever the input."""
+    rows = scanned.select(F.explode("_s_tests").alias("x")).where(F.col("x.enc") != NUMBERS).groupBy("x.bin").agg(F.count("*").alias("n")).collect()
+    m, upto, cut = sum(r.n for r in rows), 0, None
+    for r in sorted(rows):
+        upto += r.n
+        if math.erfc(-(r.bin + 1) / BINS / math.sqrt(2)) / 2 <= rate * upto / m:
+            cut = r.bin
+    return cut
+
+
+def _found(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
+    """The documents' own columns as _s_c0, _s_c1, .. (so that no name clashes), _s_base and _s_spans (k, s, e by start, then kind)."""
+    at = docs.columns.index(text)
+    scanned = scan(docs.select(*(F.col(f"`{c}`").alias(f"_s_c{i}") for i, c in enumerate(docs.columns))), f"_s_c{at}")
+    scanned = settle(scanned if keep_text else scanned.drop(f"_s_c{at}"), "secrets")
+    cut = threshold(scanned)
+    chosen = lambda x: (x["bin"] <= cut if cut is not None else F.lit(False)) & (x["enc"] != NUMBERS)
     more = F.transform(F.filter("_s_tests", chosen), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS) - 1).alias("k"), x["e"].alias("e")))
     first = F.transform("_s_base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     every = F.transform(F.sort_array(F.concat(first, more)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     return scanned.withColumn("_s_spans", every).drop("_s_tests")
 
 
+def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless keep_text) with base_spans and spans (k, s, e by start, then kind); columns of docs so named give way."""
+    own = [F.col(f"_s_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("base_spans", "spans") and (keep_text or c != text)]
+    return _found(docs, text, keep_text).select(*own, F.col("_s_base").alias("base_spans"), F.col("_s_spans").alias("spans"))
+
+
 def stage(docs: DataFrame) -> DataFrame:
     """All documents, each run of secret spans replaced by its kind in brackets; n_chars follows the text."""
-    found = find(docs)
-    clean = F.when(F.size("_s_spans") > 0, spans.redacted(F.col("text"), F.col("_s_spans"), KINDS)).otherwise(F.col("text"))
-    df = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_s_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = {c: f"_s_c{i}" for i, c in enumerate(docs.columns)}
+    any_span, t = F.size("_s_spans") > 0, F.col(own["text"])
+    df = _found(docs, "text", True).withColumn(own["text"], F.when(any_span, spans.redacted(t, F.col("_s_spans"), KINDS)).otherwise(t))
+    if "n_chars" in own:
+        n = F.col(own["n_chars"])
+        df = df.withColumn(own["n_chars"], F.when(any_span, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(n))
+    return df.select(*(F.col(q).alias(c) for c, q in own.items()))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
-    count = lambda k: F.size(F.filter("_s_base", lambda x: x["k"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])),
-        F.sha2(spans.joined(F.col("_s_base"), KINDS).cast("binary"), 256).alias("base_sha256"),
-        spans.joined(F.col("_s_spans"), KINDS).alias("spans"),
+        F.sha2(spans.joined(F.col("base_spans"), KINDS).cast("binary"), 256).alias("base_sha256"),
+        spans.joined(F.col("spans"), KINDS).alias("spans"),
     )
