@@ -6,7 +6,8 @@ headers by itself, locates the stored members, reads the index, and then each re
 through pyarrow's file systems, at the paths that all executors share; a package is written under a name of its own and moved into place,
 so a repeated task leaves one whole package.
 
-Records with equal payloads of ``MIN_REVISIT`` bytes or more are written once, as a response; the others are revisits that refer to it.
+Of records with equal payloads of ``MIN_REVISIT`` bytes or more the one with the largest page_id is written as a response; the others are
+revisits that refer to it. Rows that share that largest page_id are responses each.
 
 Defined results: a null html is an empty payload. A null url is ``urn:page:<id>``. Rows that repeat a page_id are records of their own, and
 a response refers to nothing. An empty table gives no packages. Extra columns are not read.
