@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control, in DataFrame functions only.
 
 Candidates are runs of 20 characters or more of the base-64 alphabets. Each one's encoding is inferred, and its symbols are tested
-for uniformity (chi-squared), for runs about the middle of the alphabet, and for serial correlation; the deviate of uniformity and the
-absolute deviates of the two others add up to its distance from randomness. The null law is that of natural compounds (words of letters as frequent as in Latin-script prose, numbers and
+for uniformity (chi-squared over symbols, and over classes of symbols: common letters, other ones, capitals, digits, marks), for runs
+about the middle of the alphabet, and for serial correlation; the deviates of uniformity and the absolute ones of the two others add up
+to its distance from randomness. The null law is that of natural compounds (words of letters as frequent as in Latin-script prose, numbers and
 separators as far as the encoding has them): the distance's median and its spread below that are simulated for each encoding and length with
 a fixed seed, so the law depends on no table. A candidate's p-value is the normal law's share below its deviate, which already takes its
 length into account; of all candidates those are reported that pass one Benjamini-Hochberg step-up at ``RATE``, over all lengths.
@@ -33,7 +34,7 @@ PATTERNS = {
     "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
 }
 ASSIGNED = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-LEAST_ASSIGNED, RATE, BINS = 8, 0.01, 16
+LEAST_ASSIGNED, RATE, BINS = 8, 0.05, 16
 #: Encodings, the first that fits: pattern, symbols in order.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [
@@ -49,12 +50,23 @@ ENCODINGS = [
     ("", UPPER + LOWER + DIGITS + "+/-_="),
 ]
 NUMBERS = 2
+#: The commonest letters of Latin-script prose (fixed value).
+COMMON = "aeionrstlhdcu"
 #: Letters of Latin-script prose, a to z, per 1,000 (fixed values).
 PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 #: Lengths at which the natural law is simulated (a factor of the square root of two apart; longer tokens take the last one's), tokens each.
 LENGTHS, TOKENS = tuple(round(20 * 2 ** (k / 2)) for k in range(9)), 200
 
 
+def classes(alphabet: str) -> list[str]:
+    """The classes of an alphabet's symbols that are not empty; capitals are split by commonness where they are the only letters."""
+    letters = LOWER if "e" in alphabet else UPPER
+    common = COMMON if letters == LOWER else COMMON.upper()
+    marks = "".join(c for c in alphabet if not c.isalnum())
+    cells = [common, "".join(c for c in letters if c not in common), UPPER if letters == LOWER else "", DIGITS, marks]
+    return [x for x in ("".join(c for c in cell if c in alphabet) for cell in cells) if x]
+
+
 def compound(size: int, alphabet: str, dice: random.Random) -> str:
     """A natural token: words of three to nine letters, numbers and separators, as far as the alphabet has them."""
     lower = any(c in alphabet for c in LOWER)
@@ -75,13 +87,15 @@ def distance(token: str, alphabet: str) -> float:
     n, m = len(token), len(alphabet)
     values = [alphabet.index(c) for c in token]
     uniform = (m / n * sum(token.count(c) ** 2 for c in set(token)) - n - (m - 1)) / math.sqrt(2 * (m - 1))
+    cells = [(sum(map(token.count, x)), n * len(x) / m) for x in classes(alphabet)]
+    coarse = (sum((o - e) ** 2 / e for o, e in cells) - (len(cells) - 1)) / math.sqrt(2 * max(len(cells) - 1, 1))
     high = [v >= m / 2 for v in values]
     runs, h = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False)), sum(high)
     expected = 2 * h * (n - h) / n + 1
     mean = sum(values) / n
     variance = max(sum(v * v for v in values) / n - mean * mean, 0.25)
     serial = (sum(x * y for x, y in zip(values, values[1:], strict=False)) / (n - 1) - mean * mean) / variance * math.sqrt(n)
-    return uniform + abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25)) + abs(serial)
+    return uniform + coarse + abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25)) + abs(serial)
 
 
 @cache
@@ -119,6 +133,14 @@ def battery(token: Column) -> Column:
         n, m = F.length(x).cast("double"), F.length(alphabet).cast("double")
         squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda a, s: a + F.pow(n - F.length(F.replace(x, s, F.lit(""))), F.lit(2.0)))
         uniform = (m / n * squares - n - (m - 1)) / F.sqrt(2 * (m - 1))
+        cells = F.get(F.array(*(F.array(*map(F.lit, classes(a))) for _, a in ENCODINGS)), e)
+
+        def excess(total: Column, cell: Column) -> Column:
+            expected = n * F.length(cell) / m
+            return total + F.pow(n - F.length(F.call_function("translate", x, cell, F.lit(""))) - expected, F.lit(2.0)) / expected
+
+        free = F.size(cells) - 1
+        coarse = (F.aggregate(cells, F.lit(0.0), excess) - free) / F.sqrt(2.0 * F.greatest(free, F.lit(1)))
         values = F.transform(F.split(x, ""), lambda s: (F.instr(alphabet, s) - 1).cast("double"))
         zero = F.lit(0.0)
         state = F.struct(F.lit(-1.0).alias("last"), zero.alias("runs"), zero.alias("high"), zero.alias("s"), zero.alias("q"), zero.alias("c"))
@@ -134,7 +156,7 @@ def battery(token: Column) -> Column:
             mean = a["s"] / n
             variance = F.greatest(a["q"] / n - mean * mean, F.lit(0.25))
             serial = ((a["c"] / (n - 1)) - mean * mean) / variance * F.sqrt(n)
-            return uniform + F.abs(a["runs"] - expected) / F.sqrt(spread) + F.abs(serial)
+            return uniform + coarse + F.abs(a["runs"] - expected) / F.sqrt(spread) + F.abs(serial)
 
         d = F.aggregate(values, state, step, total)
         return F.struct(e.alias("enc"), F.floor(deviate(e, n, d) * BINS).cast("int").alias("bin"))
