@@ -164,7 +164,10 @@ def _read(path: str):
                     elif ids[a] == BODY:
                         text = unescape(segments[k])
                         state["all"].update(text.encode() + b"\n")
-                        if mask[a + 1 : marks[k + 1]].any():
+                        own, under = ids[a + 1 : marks[k + 1]], mask[a + 1 : marks[k + 1]] == 1
+                        if under.any():
+                            if not under.all():
+                                text = unescape(t.decode(own[under].tolist(), skip_special_tokens=False))
                             state["loss"].update(text.encode())
                             state["loss_chars"] += len(text)
             if len(rows) >= 10_000:
