@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared exactly in tiles.
 
 Distinct fingerprints are dealt into tiles by the population counts of their four 16-bit quarters. Two fingerprints within the radius
-have counts whose differences sum to the radius at most, so all other pairs of tiles are skipped. Each remaining pair of blocks is
-compared in full with numpy exclusive-or and bit counts, and hands on a spanning forest of its links: no link between different
-fingerprints is lost for the components, and a dense group never emits all its pairs.
+have counts whose differences sum to the radius at most, so all other pairs of tiles are skipped. Tiles are shipped in blocks of up to
+``BLOCK`` fingerprints; within the task each pair of blocks is compared in full, ``SIDE`` by ``SIDE`` at a time, with numpy exclusive-or
+and bit counts. Each such part hands on a spanning forest of its links: no link between different fingerprints is lost for the
+components, and a dense group never emits all its pairs.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer than three words make one shingle.
 Copies share a fingerprint and are never expanded into pairs. Repeated rows get equal results. An empty table gives an empty result.
@@ -27,8 +28,8 @@ from graphloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 QUARTERS, QUARTER_BITS = 4, 16
-#: Rows of a block at most (about), and hashes whose bits are summed at once.
-BLOCK, CHUNK = 2048, 1 << 16
+#: Fingerprints of a block at most (about), of each side compared at once, and hashes whose bits are summed at once.
+BLOCK, SIDE, CHUNK = 1 << 16, 2048, 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -86,23 +87,26 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
-def _compare(radius: int):
+def _compare(radius: int, side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = (np.asarray(z.values).view(np.uint64) for z in (x, y))
-                rows, cols = forest(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-                differ = a[rows] != b[cols]
-                u.append(a[rows[differ]])
-                v.append(b[cols[differ]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (u, v)], ["u", "v"])
+                u, v = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+                for i in range(0, len(a), side):
+                    for j in range(0, len(b), side):
+                        left, right = a[i : i + side], b[j : j + side]
+                        rows, cols = forest(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
+                        differ = left[rows] != right[cols]
+                        u.append(left[rows[differ]])
+                        v.append(right[cols[differ]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (u, v)], ["u", "v"])
         give_back()
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, side: int = SIDE) -> DataFrame:
     """distinct: fp, one row each. Returns u, v: for each compared pair of blocks a spanning forest of the links within radius.
 
     The tile directory holds at most 17**4 keys whatever the input, the offsets are fewer than (2 * radius + 1)**4; only blocks of
@@ -124,7 +128,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     blocks = settle(blocks.groupBy("tile", "sub").agg(F.collect_list("fp").alias("fps")), "blocks")
     right = blocks.select(F.col("tile").alias("tile_b"), F.col("sub").alias("sub_b"), F.col("fps").alias("fps_b"))
     work = pairs.join(blocks, ["tile", "sub"]).join(right, ["tile_b", "sub_b"]).select("fps", "fps_b")
-    return work.mapInArrow(_compare(radius), "u long, v long")
+    return work.mapInArrow(_compare(radius, side), "u long, v long")
 
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
