@@ -1,14 +1,15 @@
 """Quality rules: text statistics and robust multivariate outliers, in DataFrame functions only.
 
 Per document: word, symbol, repeated-line and repeated-window counts. Per (lang, source): a minimum-covariance-determinant
-estimate of the transformed statistics, by concentration steps. A document is rejected for too few words, for too much
+estimate of the transformed statistics, by concentration steps from two starts (coordinate medians with unit spread, and the plain mean
+and covariance) until the determinants settle; the start that ends at the smaller determinant counts. A document is rejected for too few words, for too much
 repetition, or for a Mahalanobis distance beyond the cutoff on the side that junk lies on.
 
 A group of fewer than ``min_group`` rows past the base rules is judged by the estimate of its language, made in the same way from all
 rows of that language, or of the whole table if the language has too few as well.
 
-Defined results: a null text is empty (no words, base_failed). Null lang or source form groups of their own. Repeated rows are judged one by one. Extra columns pass through,
-whatever their names.
+Defined results: a null text is empty (no words, base_failed). A null lang or source forms a group of its own,
+apart from the empty string. Repeated rows are judged one by one. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from graphloom.llm.common import settle, text_of
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Share of a group that the estimate rests on, concentration steps, bins per e-fold of a squared distance.
-SUPPORT, STEPS, BINS = 0.75, 3, 64
+#: Share of a group that the estimate rests on, concentration steps at most, change of a log determinant that counts as settled, bins per
+#: e-fold of a squared distance.
+SUPPORT, STEPS, SETTLED, BINS = 0.75, 8, 1e-3, 64
 #: Groups (of about 300 bytes) that are sent to every task at most; more are joined, and large partitions split.
 GROUPS = 10_000
 #: Smallest spread of each transformed statistic: log words, log word length, log symbols per 100, log repeated lines, repeated share.
@@ -122,34 +124,54 @@ def _few(table: DataFrame, groups: int = GROUPS) -> DataFrame:
 def fit_mcd(stats: DataFrame, min_group: int = 50, keys: tuple[str, ...] = ("lang_key", "source_key")) -> DataFrame:
     """One row per group of keys that has min_group rows: centre, factor and consistency scale of the minimum-covariance-determinant estimate.
 
-    stats: rows with keys and z_0.. (statistics over their floors). The start is the coordinate medians with unit
-    spread; each step keeps the ``SUPPORT`` share nearest the centre and estimates anew. Only counts per bin and sums per group are
-    shuffled. The floor is added to each variance, so that a statistic that is constant in the core has a finite distance.
+    stats: rows with keys and z_0.. (statistics over their floors). Each step keeps the ``SUPPORT`` share nearest the centre and
+    estimates anew. Only counts per bin and sums per group are shuffled. The floor is added to each variance, so that a statistic that is
+    constant in the core has a finite distance.
     """
     d, keys = FEATURES, list(keys)
     long = stats.select(*keys, F.posexplode(F.array(*(F.col(f"z_{i}") for i in range(d)))).alias("f", "z"))
     medians = _quantile_bin(long, [*keys, "f"], F.floor(F.col("z") * 32).cast("int"), 0.5, "med")
-    model = medians.groupBy(*keys).agg(F.max("med_n").alias("n"), *(F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / 32)).alias(f"m_{i}") for i in range(d)))
-    model = model.where(F.col("n") >= min_group).drop("n").withColumns({f"l_{i}_{j}": F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
-    model = settle(model, "mcd")
+    middle = medians.groupBy(*keys).agg(F.max("med_n").alias("n"), *(F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / 32)).alias(f"m_{i}") for i in range(d)))
+    middle = middle.where(F.col("n") >= min_group).drop("n").withColumns({f"l_{i}_{j}": F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
+    middle = settle(middle, "mcd")
+    plain = _moments(stats.join(_few(middle), keys), keys)
+    model = settle(middle.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))), "mcd")
+    both, started = stats.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), [*keys, "start"]
     for _ in range(STEPS):
-        near = _with_distance(stats.join(_few(model), keys), d).withColumn("bin", _log_bin(F.col("d2")))
-        cut = settle(_quantile_bin(near, keys, F.col("bin"), SUPPORT, "cut").drop("cut_n"), "cut")
-        z = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(d)]
-        sums = near.join(_few(cut), keys).where(F.col("bin") <= F.col("cut")).groupBy(*keys).agg(
-            F.count("*").alias("n"), *(F.first(f"m_{i}").alias(f"o_{i}") for i in range(d)), *(F.sum(z[i]).alias(f"s_{i}") for i in range(d)),
-            *(F.sum(z[i] * z[j]).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)),
-        )
-        mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
-        cov = {(i, j): F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)}
-        for name, v in _cholesky(cov, d).items():
-            sums = sums.withColumn(name, v)
-        model = settle(sums.select(*keys, *((F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1))), "mcd")
+        near = _with_distance(both.join(_few(model), started), d).withColumn("bin", _log_bin(F.col("d2")))
+        cut = settle(_quantile_bin(near, started, F.col("bin"), SUPPORT, "cut").drop("cut_n"), "cut")
+        new = settle(_moments(near.join(_few(cut), started).where(F.col("bin") <= F.col("cut")), started), "mcd")
+        change = new.withColumn("new", _log_determinant()).select(*started, "new").join(model.withColumn("old", _log_determinant()).select(*started, "old"), started)
+        moved = change.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0]
+        model = new
+        if moved is None or moved < SETTLED:
+            break
+    best = F.min(F.struct(_log_determinant().alias("det"), "start", *(c for c in model.columns if c not in started))).alias("e")
+    model = settle(model.groupBy(*keys).agg(best).select(*keys, "e.*").drop("det", "start"), "mcd")
     middle = _quantile_bin(_with_distance(stats.join(_few(model), keys), d), keys, _log_bin(F.col("d2")), 0.5, "mid").drop("mid_n")
     scale = F.greatest(F.exp((F.col("mid") + 1) / BINS) / CHI2_MEDIAN, F.lit(1.0))
     return settle(model.join(middle, keys).withColumn("scale", scale).drop("mid"), "mcd")
 
 
+def _log_determinant() -> Column:
+    return reduce(lambda a, b: a + b, (2 * F.log(F.col(f"l_{i}_{i}")) for i in range(FEATURES)))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre m_i and factor l_i_j of the rows' covariance per key, from sums about the centre m_i that the rows carry."""
+    d = FEATURES
+    z = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(d)]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), *(F.first(f"m_{i}").alias(f"o_{i}") for i in range(d)), *(F.sum(z[i]).alias(f"s_{i}") for i in range(d)),
+        *(F.sum(z[i] * z[j]).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)),
+    )
+    mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
+    cov = {(i, j): F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)}
+    for name, v in _cholesky(cov, d).items():
+        sums = sums.withColumn(name, v)
+    return sums.select(*keys, *((F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+
+
 def fit_all(stats: DataFrame, min_group: int = 50) -> DataFrame:
     """One row for every (lang_key, source_key) of stats: its own estimate, or that of its language, or that of all rows."""
     whole = stats.withColumn("whole_key", F.lit(0))
@@ -175,7 +197,7 @@ def _judged(docs: DataFrame, text: str, cutoff: float, min_group: int, keep_text
     """The documents' own columns as _q_c0, _q_c1, .. (so that no name clashes), and RESULTS."""
     own = {c: f"_q_c{i}" for i, c in enumerate(docs.columns)}
     docs = docs.select(*(F.col(f"`{c}`").alias(q) for c, q in own.items()))
-    keys = {"lang_key": F.coalesce(own["lang"], F.lit("")), "source_key": F.coalesce(own["source"], F.lit(""))}
+    keys = {f"{c}_key": F.coalesce(F.concat(F.lit("="), F.col(own[c]).cast("string")), F.lit("")) for c in ("lang", "source")}
     stats = text_stats(docs, own[text])
     stats = settle(stats if keep_text else stats.drop(own[text]), "quality")
     named = stats.withColumns(keys | {f"z_{i}": f / w for i, (f, w) in enumerate(zip(_features(), FLOORS, strict=True))})
