@@ -89,10 +89,10 @@ def column(model: list[Split | float], features: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, map(one, model))
 
 
-def calibrated(model: list[Split | float], held: list[Row], precision: float) -> float:
-    """The least margin above which held-out precision, by its lower confidence bound, is as asked; infinity if none is."""
+def threshold(scored: list[tuple[float, float, float]], precision: float) -> float:
+    """scored: margin, positives, negatives of held-out rows. The least margin above which the precision, by its lower confidence bound, is as asked; infinity if none is."""
     cut, pos, neg = math.inf, 0.0, 0.0
-    scored = sorted(((margin(model, r[0]), r[1], r[2]) for r in held), reverse=True)
+    scored = sorted(scored, reverse=True)
     for k, (m, p, n) in enumerate(scored):
         pos, neg = pos + p, neg + n
         if k + 1 < len(scored) and scored[k + 1][0] == m:
@@ -103,3 +103,8 @@ def calibrated(model: list[Split | float], held: list[Row], precision: float) ->
         if lower >= precision:
             cut = m
     return cut
+
+
+def calibrated(model: list[Split | float], held: list[Row], precision: float) -> float:
+    """The threshold for one model and held-out rows."""
+    return threshold([(margin(model, r[0]), r[1], r[2]) for r in held], precision)
