@@ -7,6 +7,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import chat, extract, html_tree, warc, wrappers
 from graphloom.llm.common import new_path
@@ -38,6 +39,16 @@ def test_chat_round_trip(spark, chunk):
         assert formatted.where("conv_id = 1").count() > 1
 
 
+def test_loss_is_read_from_under_the_mask(spark):
+    """A mask that leaves out a text's first id gives another digest."""
+    rows = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "one two three four")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows)
+    less = "transform(loss_mask, (m, i) -> if(m = 1 and loss_mask[i - 1] = 0, 0Y, m))"
+    cut = formatted.withColumn("loss_mask", F.expr(less.replace("loss_mask[i - 1]", "element_at(loss_mask, i)")))
+    whole, part = chat.read_back(formatted).first(), chat.read_back(cut).first()
+    assert whole.loss_chars == 18 and part.loss_chars == 15 and part.loss_sha256 == hashlib.sha256(b" two three four").hexdigest()
+
+
 def test_no_text_forges_a_mark(spark):
     for row in chat.format_conversations(turns(spark)).collect():
         ids, mask = row.ids, row.loss_mask
