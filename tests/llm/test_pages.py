@@ -135,16 +135,20 @@ def test_extraction(spark):
     assert extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_places_leave_no_good_text_behind():
-    """Pages of one host, merged: head and lead beside the body, a story beside a teaser, articles of different keys."""
+def hosted(*pages):
+    """The texts of pages of one host."""
+    w = wrappers.Wrapper()
+    for p in pages:
+        w.align("h", wrappers.stream(html_tree.parse(p)))
+    return [extract.main_text(p, w.constants("h")) for p in pages]
+
+
+def test_articles_are_whole():
+    """Pages of one host: head and lead beside the body, a story beside a teaser, articles of different keys."""
 
     def texts(body):
         pages = [SHELL.format(body=body.replace("{i}", str(i)).replace("{w}", f"words {i} " * 30)) for i in range(4)]
-        w = None
-        for p in pages:
-            node = wrappers.skeleton(html_tree.parse(p))
-            w = node if w is None else wrappers.merge(w, node)
-        return extract.main_text(pages[2], extract.places(w)), ("words 2 " * 30).strip()
+        return hosted(*pages)[2], ("words 2 " * 30).strip()
 
     got, long = texts("<div class=lead><h1>Head {i}</h1><p>Lead {i}</p></div><div class=body><p>{w}</p></div>")
     assert got == f"Head 2\nLead 2\n{long}"
@@ -156,13 +160,46 @@ def test_places_leave_no_good_text_behind():
     assert got == long
 
 
+def test_slots_stay_and_constants_go():
+    """Names that only contain a listed word: the wrapper decides. Constant containers go without a name, running text stays."""
+    body = "<article><h2>Summary</h2><p>text {i}</p><section class=legal-analysis>ruling {i}</section><div class=share-of-market>sold {i}</div><div class=x7>Thank you for reading</div><div class=search-results>found {i}</div><div class=skip-intro>Always here</div><div class=share-buttons>share {i}</div><div hidden>kept {i}</div></article>"
+    got = hosted(*(SHELL.format(body=body.replace("{i}", str(i))) for i in range(5)))
+    assert got[3] == "Summary\ntext 3\nruling 3\nsold 3\nfound 3\nkept 3"
+    alone = hosted(SHELL.format(body=body.replace("{i}", "1")))
+    assert alone[0] == "Summary\ntext 1\nruling 1\nsold 1\nThank you for reading\nfound 1\nAlways here\nkept 1"
+    same = "<div class=a><div class=b>the only page of this host, in copies</div></div>"
+    assert hosted(same, same, same, same) == ["the only page of this host, in copies"] * 4
+
+
+def test_pages_of_any_depth(spark):
+    n = 100_000
+    deep = "<div>" * n + "<p>at the bottom" + "</div>" * n
+    pages = [deep, "<b>" * n + "bold<div>x", "<li>" * n + "item", "<div class=a>" * 3000 + "</p></span>" * 3000 + "y", "<p>" * n + "z", "<table>" * 5000 + "<td>c" * 5000]
+    rows = [(i, "http://deep.example/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert (got[0], got[1], got[2], got[3], got[4]) == ("at the bottom", "bold\nx", "item", "y", "z")
+    assert got[5] == "\n".join(["c"] * 5000)
+
+
+def test_partitions_do_not_matter(spark):
+    """Hosts of many layouts, under one partition and fifty: the same texts, which a computation without Spark gives too."""
+    layouts = ["<article class=k{k}><h1>H {i}</h1><p>w {i}</p><div class=z{k}>same</div></article>", "<div class=k{k}><p>w {i} <a href=x>link</a></p><ul class=menu><li>m</ul></div>", "<main><p>w {i}</p><div class=legal-x>same</div></main>"]
+    rows = [(i, f"http://h{i % 2}.example/{i}", SHELL.format(body=layouts[i % 3].replace("{k}", "abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] * (1 + i % 5)).replace("{i}", str(i)))) for i in range(400)]
+    df = spark.createDataFrame(rows, PAGES)
+    one = {r.page_id: r.text for r in extract.extract(df.coalesce(1)).collect()}
+    assert one == {r.page_id: r.text for r in extract.extract(df.repartition(50)).collect()}
+    for h in range(2):
+        own = [r for r in rows if r[0] % 2 == h]
+        assert [one[r[0]] for r in own] == hosted(*(r[2] for r in own))
+
+
 def test_wrappers_are_union_free():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>y</h2><p>z</p>", "<ul><li>c</li><li>d</li><li>e</li></ul><p>w</p>"]
-    w = None
+    forward, backward = wrappers.Wrapper(), wrappers.Wrapper()
     for p in pages:
-        node = wrappers.skeleton(html_tree.parse(p))
-        w = node if w is None else wrappers.merge(w, node)
-    assert re.sub(r"'\w+'", "'c'", wrappers.expression(w)) == "<#root>(<ul>(<li>(#TEXT)+) <h2>('c')? <p>(#TEXT))"
-    assert wrappers.Node.load(w.dump()) == w
-    many = wrappers.skeleton(html_tree.parse("<h2>a</h2><p>b</p>" * 30))
-    assert [c.key for c in many.children] == ["h2", "p"] and all(c.repeated for c in many.children)
+        forward.align("h", wrappers.stream(html_tree.parse(p)))
+    for p in reversed(pages):
+        backward.align("h", wrappers.stream(html_tree.parse(p)))
+    text = wrappers.expression(forward.tokens.values())
+    assert text == wrappers.expression(backward.tokens.values())
+    assert re.sub(r"'\w+'", "'c'", text) == "<#root>(<ul>(<li>(#TEXT)+)<h2>('c')?<p>(#TEXT))"
