@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of this machine where it is unset, as in tests."""
+    """``spark.checkpoint.dir``, or a folder of this machine where it is unset and all runs on this machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = Path(tempfile.mkdtemp(prefix="graphloom-")).as_uri()
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
