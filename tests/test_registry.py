@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.plans import registry
@@ -22,7 +23,7 @@ def rows(df):
     def plain(x):
         if isinstance(x, (list, tuple, np.ndarray)):
             return str(list(x))
-        if x is None or x != x:
+        if pd.isna(x):
             return ""
         return f"{x:.6f}" if isinstance(x, (float, np.floating)) else str(x)
 
