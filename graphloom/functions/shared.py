@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """Settled tables of the same columns as one: an iteration writes what is new alone, and reads all it has written."""
+    return reduce(DataFrame.unionByName, tables)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

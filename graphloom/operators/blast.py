@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions import paths
-from graphloom.functions.shared import settle
+from graphloom.functions.shared import settle, stacked
 from graphloom.model import FOLLOWED, Graph
 
 #: Decay by kind, floor of stored edges, floor of structural kinds.
@@ -51,11 +51,13 @@ def reach(g: Graph, subjects: DataFrame, options: Options = ENGINE) -> DataFrame
     Each hop joins the frontier with inbound edges, multiplies confidences, keeps the best edge per node (non-temporal first, then
     confidence, then the smallest source and kind), and drops what has been visited. A node reached by temporal edges alone isn't followed.
     A frontier beyond its cap keeps the most confident, then the most depended on, then the smallest ids; what is cut stays undiscovered.
+    Edges and dependants are settled once; each hop writes what it discovers alone.
     """
     e = g.edges.where(F.col("kind").isin(*FOLLOWED["blast"]) & F.col("source_id").isNotNull() & (F.col("confidence") >= EDGE_FLOOR)).select("source_id", "target_id", "kind", F.col("confidence").alias("edge_confidence"))
-    fan = e.groupBy(F.col("target_id").alias("symbol_id")).agg(F.count("*").alias("fan"))
+    e = settle(e, "edges")
+    fan = settle(e.groupBy(F.col("target_id").alias("symbol_id")).agg(F.count("*").alias("fan")), "fan")
     first = seeds(g, subjects).select("seed", "symbol_id", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("string").alias("kind"))
-    visited = frontier = settle(first, "reach")
+    hops = [frontier := settle(first, "reach")]
     for hop in range(1, options.hops + 1):
         step = frontier.select("seed", F.col("symbol_id").alias("target_id"), F.col("confidence").alias("path")).join(e, "target_id")
         cum = F.round(F.col("path") * F.col("edge_confidence") * decay(F.col("kind")), 12)
@@ -63,14 +65,14 @@ def reach(g: Graph, subjects: DataFrame, options: Options = ENGINE) -> DataFrame
         step = step.withColumn("c", cum).where(F.col("c") >= floor)
         order = F.struct((F.col("kind") == "temporal").alias("t"), (-F.col("c")).alias("n"), F.col("target_id").alias("via"), F.col("kind").alias("kind"))
         best = step.groupBy("seed", F.col("source_id").alias("symbol_id")).agg(F.min(order).alias("b"))
-        new = best.join(visited.select("seed", "symbol_id"), ["seed", "symbol_id"], "left_anti").select("seed", "symbol_id", F.lit(hop).alias("hop"), (-F.col("b.n")).alias("confidence"), "b.via", "b.kind")
+        new = best.join(stacked(hops).select("seed", "symbol_id"), ["seed", "symbol_id"], "left_anti").select("seed", "symbol_id", F.lit(hop).alias("hop"), (-F.col("b.n")).alias("confidence"), "b.via", "b.kind")
         ranked = new.join(fan, "symbol_id", "left").withColumn("k", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("confidence"), F.desc(F.coalesce("fan", F.lit(0))), "symbol_id")))
         new = settle(ranked.where(F.col("k") <= options.frontier).select("seed", "symbol_id", "hop", "confidence", "via", "kind"), "reach")
         if new.isEmpty():
             break
-        visited = settle(visited.unionByName(new), "reach")
+        hops.append(new)
         frontier = new.where("kind <> 'temporal'")
-    return visited
+    return stacked(hops)
 
 
 def affected(g: Graph, reached: DataFrame) -> DataFrame:
@@ -153,16 +155,17 @@ def carriers(g: Graph, subjects: DataFrame, levels: int = 20, most: int = 2000)
     """O-G28, O-G31: seed, symbol_id, level, chain: fixpoint over inbound composes and includes edges, interfaces left out, smallest parents."""
     usable = g.symbols.where("kind <> 'interface'").select(F.col("symbol_id").alias("source_id"))
     e = g.edges.where(F.col("kind").isin("composes", "includes") & F.col("source_id").isNotNull()).join(usable, "source_id", "left_semi").select("source_id", "target_id").distinct()
-    seen = frontier = settle(subjects.select(F.col("symbol_id").alias("seed"), "symbol_id", F.lit(0).alias("level"), F.array("symbol_id").alias("chain")), "carriers")
+    e = settle(e, "edges")
+    found = [frontier := settle(subjects.select(F.col("symbol_id").alias("seed"), "symbol_id", F.lit(0).alias("level"), F.array("symbol_id").alias("chain")), "carriers")]
     for level in range(1, levels + 1):
         step = frontier.select("seed", F.col("symbol_id").alias("target_id"), "chain").join(e, "target_id")
         best = step.groupBy("seed", F.col("source_id").alias("symbol_id")).agg(F.min(F.struct("target_id", "chain")).alias("b"))
-        new = best.join(seen.select("seed", "symbol_id"), ["seed", "symbol_id"], "left_anti").select("seed", "symbol_id", F.lit(level).alias("level"), F.concat("b.chain", F.array("symbol_id")).alias("chain"))
+        new = best.join(stacked(found).select("seed", "symbol_id"), ["seed", "symbol_id"], "left_anti").select("seed", "symbol_id", F.lit(level).alias("level"), F.concat("b.chain", F.array("symbol_id")).alias("chain"))
         frontier = settle(new, "carriers")
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier), "carriers")
-    ranked = seen.withColumn("k", F.row_number().over(W.partitionBy("seed").orderBy("level", "symbol_id")))
+        found.append(frontier)
+    ranked = stacked(found).withColumn("k", F.row_number().over(W.partitionBy("seed").orderBy("level", "symbol_id")))
     return ranked.where((F.col("level") == 0) | (F.col("k") <= most + 1)).drop("k")
 
 

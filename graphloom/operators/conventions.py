@@ -211,8 +211,10 @@ def deduped(found: DataFrame) -> DataFrame:
 
 def labels(rows: DataFrame) -> DataFrame:
     """O-C22, O-C23: name, qualified, path -> label: the name if it is the only one, else the qualified name, else with its path."""
-    by_name, by_qualified = F.count("*").over(W.partitionBy("name")), F.count("*").over(W.partitionBy("qualified"))
-    return rows.withColumn("label", F.when(by_name == 1, F.col("name")).when(by_qualified == 1, F.col("qualified")).otherwise(F.concat_ws(" @ ", "qualified", "path")))
+    once = lambda c, n: rows.groupBy(c).agg(F.count("*").alias(n))
+    counted = rows.join(once("name", "by_name"), "name", "left").join(once("qualified", "by_qualified"), "qualified", "left")
+    label = F.when(F.col("by_name") == 1, F.col("name")).when(F.col("by_qualified") == 1, F.col("qualified")).otherwise(F.concat_ws(" @ ", "qualified", "path"))
+    return counted.select(*rows.columns, label.alias("label"))
 
 
 def best_examples(rows: DataFrame, edges: DataFrame, n: int = 3) -> DataFrame:

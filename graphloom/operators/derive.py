@@ -9,27 +9,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions import paths, text
-from graphloom.functions.shared import settle
+from graphloom.functions.shared import settle, stacked
 from graphloom.model import CONTAINERS, Graph
 from graphloom.operators.aggregates import representatives
 
 #: Fixed values of name resolution.
 AMBIGUOUS, COLLISION, UNSURE, ANCESTORS = 0.8, 0.3, 0.5, 16
 VIEWS = ("erb",)
+#: Files of a commit that are paired in one task (about).
+PAIRED = 1000
 
 
-def co_changes(commits: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
+def co_changes(commits: DataFrame, least: int = 3, most: int | None = None, block: int = PAIRED) -> DataFrame:
     """O-J13, O-A14: a, b, pairs, strength: pairs of files of different directories in one commit, against the busier file's commits.
 
-    A commit's pairs grow with the square of its files; most, if given, leaves out bulk edits of more files.
+    A commit's pairs grow with the square of its files; most, if given, leaves out bulk edits of more files. The files of a commit are dealt
+    into blocks of about block, and pairs of blocks are joined, so that no task pairs a whole bulk commit; no pair is lost.
     """
     files = commits.select("commit_id", "path").distinct()
     per = files.groupBy("path").agg(F.count("*").alias("n"))
     if most is not None:
         files = files.join(files.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("commit_id"), "commit_id", "left_semi")
-    a = files.select("commit_id", F.col("path").alias("a"), paths.area(F.col("path")).alias("da"))
-    b = files.select("commit_id", F.col("path").alias("b"), paths.area(F.col("path")).alias("db"))
-    pairs = a.join(b, "commit_id").where("a < b and da <> db").groupBy("a", "b").agg(F.count("*").alias("pairs")).where(F.col("pairs") >= least)
+    blocks = files.groupBy("commit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = files.join(blocks, "commit_id").withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("commit_id", "path", paths.area(F.col("path")).alias("area"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    a = dealt.select("commit_id", F.col("path").alias("a"), F.col("area").alias("da"), F.col("own").alias("ba"), F.col("other").alias("bb"))
+    b = dealt.select("commit_id", F.col("path").alias("b"), F.col("area").alias("db"), F.col("other").alias("ba"), F.col("own").alias("bb"))
+    pairs = a.join(b, ["commit_id", "ba", "bb"]).where("a < b and da <> db").groupBy("a", "b").agg(F.count("*").alias("pairs")).where(F.col("pairs") >= least)
     out = pairs.join(per.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(per.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "pairs", F.round(F.col("pairs") / F.greatest("na", "nb"), 6).alias("strength"))
 
@@ -68,14 +74,33 @@ def _best(found: DataFrame, cap: float) -> DataFrame:
 def ancestry(g: Graph, depth: int = ANCESTORS) -> DataFrame:
     """O-R5: symbol_id, ancestor_id, depth: nearest first, over inherits and includes edges, a fixpoint of at most so many levels."""
     up = g.edges.where(F.col("kind").isin("inherits", "includes") & F.col("source_id").isNotNull()).select(F.col("source_id").alias("symbol_id"), F.col("target_id").alias("ancestor_id")).distinct()
-    seen = frontier = settle(up.where("symbol_id <> ancestor_id").withColumn("depth", F.lit(1)), "ancestry")
+    up = settle(up, "parents")
+    levels = [frontier := settle(up.where("symbol_id <> ancestor_id").withColumn("depth", F.lit(1)), "ancestry")]
     for d in range(2, depth + 1):
         step = frontier.select("symbol_id", F.col("ancestor_id").alias("mid")).join(up.select(F.col("symbol_id").alias("mid"), "ancestor_id"), "mid").select("symbol_id", "ancestor_id").distinct()
-        frontier = settle(step.where("symbol_id <> ancestor_id").join(seen, ["symbol_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(d)), "ancestry")
+        frontier = settle(step.where("symbol_id <> ancestor_id").join(stacked(levels), ["symbol_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(d)), "ancestry")
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier), "ancestry")
-    return seen
+        levels.append(frontier)
+    return stacked(levels)
+
+
+def _leaf(p: DataFrame, refs: DataFrame) -> DataFrame:
+    """O-R6 under the gates of O-R7 and the choice of O-R8, from counts: a common leaf name is counted once per language, receiver and kind
+    of place, never paired with every reference to it. Receivers that agree are asked first, all of them next."""
+    gates, every = ["language", "is_test", "synthetic"], "\x00"
+    known = refs.withColumns({"synthetic": text.is_synthetic(F.col("qualified")), "to": F.coalesce("receiver", F.lit(""))})
+    known = known.select("leaf", *gates, "file_id", "symbol_id", F.explode(F.array_distinct(F.array(F.col("to"), F.lit(every)))).alias("to"))
+    counted = known.groupBy("leaf", "to", *gates).agg(F.count("*").alias("n"), F.min("symbol_id").alias("least"))
+    near = known.groupBy("leaf", "to", F.col("file_id").alias("source_file_id")).agg(F.min("symbol_id").alias("near"))
+    asked = F.array_compact(F.array(F.when(F.col("want") != "", F.struct(F.lit(0).alias("turn"), F.col("want").alias("to"))), F.struct(F.lit(1).alias("turn"), F.lit(every).alias("to"))))
+    q = p.select("edge_no", F.col("leaf_wanted").alias("leaf"), "source_file_id", "source_language", "source_is_test", "source_path", "base", F.explode(asked).alias("q")).select("*", "q.turn", "q.to").drop("q")
+    allowed = ((F.col("language") == F.col("source_language")) | F.col("source_path").rlike(r"\.erb$") | F.col("synthetic")) & (F.col("source_is_test") | ~F.col("is_test"))
+    met = q.join(counted, ["leaf", "to"]).where(allowed).groupBy("edge_no", "turn", "leaf", "to", "source_file_id", "base").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    met = met.join(near, ["leaf", "to", "source_file_id"], "left").withColumn("symbol_id", F.coalesce("near", "least"))
+    one = met.groupBy("edge_no").agg(F.min(F.struct("turn", "symbol_id", "n", "base")).alias("b")).select("edge_no", "b.*")
+    confidence = F.when(F.col("n") > 1, F.lit(COLLISION)).otherwise(F.least(F.col("base"), F.lit(AMBIGUOUS)))
+    return one.select("edge_no", F.lit(4).alias("tier"), "symbol_id", confidence.alias("confidence"), (F.col("n") > 1).alias("ambiguous"))
 
 
 def resolve(g: Graph, pending: DataFrame, closure: DataFrame | None = None) -> DataFrame:
@@ -110,11 +135,9 @@ def resolve(g: Graph, pending: DataFrame, closure: DataFrame | None = None) -> D
         inherited = up.join(members, (up.parent_id == members.parent_id) & (up.leaf_wanted == members.leaf)).drop("parent_id", "owner").withColumn("tier", F.lit(3))
         inherited = _allowed(inherited.withColumn("near", F.min("depth").over(W.partitionBy("edge_no"))).where("depth = near")).drop("depth", "near", "fits")
         parts.append(inherited)
-    leaf = _allowed(open_.where(F.col("kind_p").isin("calls", "tests", "references")).join(refs, F.col("leaf_wanted") == F.col("leaf")).withColumn("tier", F.lit(4))).drop("fits")
+    weak = _leaf(open_.where(F.col("kind_p").isin("calls", "tests", "references")), refs)
     common = first.columns
     strong = reduce(DataFrame.unionByName, (x.select(*common) for x in parts))
-    weak = _best(leaf, AMBIGUOUS)
-    weak = weak.withColumn("confidence", F.when(F.col("ambiguous"), F.lit(COLLISION)).otherwise(F.col("confidence")))
     every = _best(strong, 1.0).unionByName(weak)
     best = every.groupBy("edge_no").agg(F.min(F.struct("tier", "symbol_id", "confidence", "ambiguous")).alias("b")).select("edge_no", "b.*")
     return pending.select("edge_no", "source_id", "kind", F.col("source_file_id").alias("file_id")).join(best, "edge_no").select("edge_no", "source_id", F.col("symbol_id").alias("target_id"), "kind", "file_id", "confidence", "ambiguous", "tier")
@@ -156,37 +179,43 @@ def parent_links(children: DataFrame, g: Graph) -> DataFrame:
     return c.groupBy("symbol_id").agg(F.min(order)["parent_id"].alias("parent_id"))
 
 
-def satisfaction(methods: DataFrame, embeds: DataFrame, kinds: DataFrame, levels: int = 3) -> DataFrame:
+def satisfaction(methods: DataFrame, embeds: DataFrame, kinds: DataFrame, levels: int = 3, rounds: int = 1000) -> DataFrame:
     """O-R14, O-J15: interface_id, struct_id pairs of Go types, by relational division.
 
     methods: owner_id, name, params, results, known. embeds: outer_id, inner_id. kinds: symbol_id, kind ('interface' or else).
-    Interfaces take over the methods of those they embed, to the fixpoint; structs those of embedded types, three levels deep, unless their own
+    Interfaces take over the methods of those they embed, to the fixpoint (an error beyond so many rounds); structs those of embedded types, three levels deep, unless their own
     or a nearer one has the name; methods promoted from two places at one depth are of unknown arity. Unknown arities fit any. Empty interfaces
-    are skipped.
+    are skipped. Pairs are proposed by each interface's rarest method alone, then all its methods are compared.
     """
     iface = kinds.where("kind = 'interface'").select("symbol_id")
     owned = methods.select("owner_id", "name", "params", "results", "known").withColumn("depth", F.lit(0))
 
-    def widened(rows: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-        every = frontier = settle(rows, "methods")
+    def widened(rows: DataFrame, links: DataFrame, rounds: int, whole: bool) -> DataFrame:
+        every = [frontier := settle(rows, "methods")]
         for d in range(1, rounds + 1):
             step = frontier.join(links, frontier.owner_id == links.inner_id).select(F.col("outer_id").alias("owner_id"), "name", "params", "results", "known", F.lit(d).alias("depth"))
-            fresh = step.join(every.select("owner_id", "name"), ["owner_id", "name"], "left_anti").select(*every.columns)
+            fresh = step.join(stacked(every).select("owner_id", "name"), ["owner_id", "name"], "left_anti").select(*rows.columns)
             one = fresh.groupBy("owner_id", "name").agg(F.min("params").alias("params"), F.min("results").alias("results"), (F.bool_and("known") & (F.countDistinct("params", "results") == 1)).alias("known"), F.min("depth").alias("depth"))
-            frontier = settle(one.select(*every.columns), "methods")
+            frontier = settle(one.select(*rows.columns), "methods")
             if frontier.isEmpty():
                 break
-            every = settle(every.unionByName(frontier), "methods")
-        return every
+            every.append(frontier)
+        else:
+            if whole:
+                raise RuntimeError(f"embedding goes on after {rounds} rounds")
+        return stacked(every)
 
     i_links = embeds.join(iface.withColumnRenamed("symbol_id", "outer_id"), "outer_id", "left_semi")
     s_links = embeds.join(iface.withColumnRenamed("symbol_id", "outer_id"), "outer_id", "left_anti")
-    i = widened(owned.join(iface.withColumnRenamed("symbol_id", "owner_id"), "owner_id", "left_semi"), i_links, 64).drop("depth")
-    s = widened(owned.join(iface.withColumnRenamed("symbol_id", "owner_id"), "owner_id", "left_anti"), s_links, levels).drop("depth")
+    i = widened(owned.join(iface.withColumnRenamed("symbol_id", "owner_id"), "owner_id", "left_semi"), i_links, rounds, True).drop("depth")
+    s = widened(owned.join(iface.withColumnRenamed("symbol_id", "owner_id"), "owner_id", "left_anti"), s_links, levels, False).drop("depth")
     need = i.groupBy("owner_id").agg(F.count("*").alias("need")).select(F.col("owner_id").alias("interface_id"), "need")
     have = s.select(F.col("owner_id").alias("struct_id"), "name", F.col("params").alias("p"), F.col("results").alias("r"), F.col("known").alias("k"))
     fits = ~F.col("known") | ~F.col("k") | ((F.col("params") == F.col("p")) & (F.col("results") == F.col("r")))
-    met = i.withColumnRenamed("owner_id", "interface_id").join(have, "name").where(fits).groupBy("interface_id", "struct_id").agg(F.count("*").alias("met"))
+    common = have.groupBy("name").agg(F.count("*").alias("owners"))
+    rarest = i.join(common, "name", "left").groupBy(F.col("owner_id").alias("interface_id")).agg(F.min(F.struct(F.coalesce("owners", F.lit(0)), "name"))["name"].alias("name"))
+    tried = rarest.join(have.select("struct_id", "name"), "name").select("interface_id", "struct_id")
+    met = tried.join(i.withColumnRenamed("owner_id", "interface_id"), "interface_id").join(have, ["struct_id", "name"]).where(fits).groupBy("interface_id", "struct_id").agg(F.count("*").alias("met"))
     return met.join(need, "interface_id").where("met = need").select("interface_id", "struct_id", F.lit("inherits").alias("kind"), F.lit(0.9).alias("confidence"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,13 @@ def postings(docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
 
 def matching(docs: DataFrame, id_column: str, columns: list[str], terms: list[str]) -> DataFrame:
     """id, len, term, tf of the given terms alone: no index, one pass with map-side counts."""
-    df = docs.select(F.col(id_column).alias("id"), tokens(F.concat_ws(" ", *columns)).alias("w"))
-    hits = F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("w", _equals(t))).alias("tf")) for t in terms))
+    return occurring(docs.select(F.col(id_column).alias("id"), tokens(F.concat_ws(" ", *columns)).alias("w")), terms)
+
+
+def occurring(df: DataFrame, terms: list[str]) -> DataFrame:
+    """The same of rows whose tokens are there already: id, w."""
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    hits = none if not terms else F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("w", _equals(t))).alias("tf")) for t in terms))
     return df.select("id", F.size("w").alias("len"), F.explode(F.filter(hits, lambda h: h["tf"] > 0)).alias("h")).select("id", "len", "h.term", "h.tf")
 
 
@@ -36,8 +43,20 @@ def _equals(term: str):
     return lambda x: x == term
 
 
-def corpus(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.concat_ws(" ", *columns)))).alias("avg_len"))
+@dataclass(frozen=True)
+class Statistics:
+    """Rows, their average length in tokens, and for each asked term that occurs the rows that have it."""
+
+    rows: int
+    length: float
+    frequency: dict[str, int]
+
+
+def statistics(words: DataFrame, terms: list[str]) -> Statistics:
+    """Of tokens w over all rows, in one pass that ends in one row."""
+    held = [F.count_if(F.array_contains("w", t)).alias(f"t{i}") for i, t in enumerate(terms)]
+    r = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("length"), *held).first()
+    return Statistics(r.n, float(r.length or 1.0), {t: r[f"t{i}"] for i, t in enumerate(terms) if r[f"t{i}"]})
 
 
 def document_frequency(docs: DataFrame, id_column: str, columns: list[str], terms: list[str]) -> DataFrame:
@@ -47,12 +66,18 @@ def document_frequency(docs: DataFrame, id_column: str, columns: list[str], term
 
 def bm25(docs: DataFrame, id_column: str, columns: list[str], terms: list[str], limit: int, where: Column | None = None) -> DataFrame:
     """O-T1: id, score of the best rows, ties by id. Statistics cover all rows; where (the language, say) selects afterwards."""
-    found = matching(docs if where is None else docs.where(where), id_column, columns, terms)
-    total = corpus(docs, columns).first()
-    df = document_frequency(docs, id_column, columns, terms)
-    idf = F.greatest(F.log((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(total.avg_len or 1.0))))
-    scored = found.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))  # one row per query term
+    words = docs.withColumn("w", tokens(F.concat_ws(" ", *columns)))
+    kept = words if where is None else words.where(where)
+    return scored(kept.select(F.col(id_column).alias("id"), "w"), terms, statistics(words, terms), limit)
+
+
+def scored(words: DataFrame, terms: list[str], known: Statistics, limit: int) -> DataFrame:
+    """O-T1 over rows whose tokens are there already: id, w."""
+    found = occurring(words, [t for t in terms if t in known.frequency])
+    df = reduce(lambda c, kv: c.when(F.col("term") == kv[0], kv[1]), known.frequency.items(), F.when(F.lit(False), 0)).otherwise(0)
+    idf = F.greatest(F.log((F.lit(known.rows) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(known.length)))
+    scored = found.groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions import text
-from graphloom.functions.shared import settle
+from graphloom.functions.shared import settle, stacked
 from graphloom.model import Graph
 from graphloom.operators.aggregates import in_degree
 
@@ -73,18 +73,18 @@ def bfs(g: Graph, roots: DataFrame, depth: int = DEPTH, direction: str = "both",
         steps.append(e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
     if direction in ("both", "callers"):
         steps.append(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
-    adjacent = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-    seen = settle(roots.select("symbol_id", F.lit(0).alias("hop"), F.lit(False).alias("truncated")).distinct(), "bfs")
-    frontier = seen
+    adjacent = settle(stacked(steps), "adjacent")
+    first = settle(roots.select("symbol_id", F.lit(0).alias("hop"), F.lit(False).alias("truncated")).distinct(), "bfs")
+    hops = [frontier := first]
     for hop in range(1, min(depth, DEPTH) + 1):
         near = adjacent.join(F.broadcast(frontier.select(F.col("symbol_id").alias("a"))), "a").groupBy(F.col("b").alias("symbol_id")).agg(F.min("a").alias("a"))
-        new = settle(near.where("symbol_id <> 0").join(seen.select("symbol_id"), "symbol_id", "left_anti").orderBy("a", "symbol_id").limit(cap + 1), "bfs")
+        new = settle(near.where("symbol_id <> 0").join(stacked(hops).select("symbol_id"), "symbol_id", "left_anti").orderBy("a", "symbol_id").limit(cap + 1), "bfs")
         n = new.count()
         frontier = new.orderBy("a", "symbol_id").limit(cap).select("symbol_id", F.lit(hop).alias("hop"), F.lit(n > cap).alias("truncated"))
-        seen = settle(seen.unionByName(frontier), "bfs")
+        hops.append(frontier)
         if not n or n > cap:
             break
-    return seen
+    return stacked(hops)
 
 
 BUCKETS = ("calls", "called_by", "inherits", "inherited_by", "composes", "composed_by", "includes", "imports", "tests", "temporal")

@@ -186,14 +186,15 @@ def search(g: Graph, query: str, options: Options = Options(), embed=None) -> Da
     wanted, form = max(5 * options.limit, 50), shape(query)
     docs = g.symbols.join(g.files.select("file_id", "language"), "file_id")
     columns = ["name", "qualified"]
-    words = terms(query)
-    total = docs.count()
-    frequency = {r.term: r.df for r in fulltext.document_frequency(docs, "symbol_id", columns, words).collect()} if form != "identifier" and words else {}
+    asked = {q: sorted({t for p in fulltext.query_terms(q) for t in p}) for q in expand(query)}
+    index = settle(docs.select(F.col("symbol_id").alias("id"), "language", fulltext.tokens(F.concat_ws(" ", *columns)).alias("w")), "words")
+    known = fulltext.statistics(index, sorted({*terms(query), *(t for p in asked.values() for t in p)}))
+    total, frequency = known.rows, known.frequency
     where = F.col("language") == options.language if options.language else None
+    words = index if where is None else index.where(where)
     lists = []
-    for k, q in enumerate(expand(query)):
-        plain = sorted({t for p in fulltext.query_terms(q) for t in p})
-        hits = settle(fulltext.bm25(docs, "symbol_id", columns, plain, wanted, where), "hits")
+    for k, (q, plain) in enumerate(asked.items()):
+        hits = settle(fulltext.scored(words.select("id", "w"), plain, known, wanted), "hits")
         n = hits.count()
         if n < 5:
             more = fulltext.substring(docs if where is None else docs.where(where), "symbol_id", "qualified", q, wanted - n).join(hits.select("id"), "id", "left_anti")

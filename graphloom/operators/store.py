@@ -22,25 +22,30 @@ def newest(df: DataFrame, key: tuple[str, ...], version: str, null_bypass: str |
     return kept if null_bypass is None else kept.unionByName(df.where(F.col(null_bypass).isNull()))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], id_column: str, null_bypass: str | None = None) -> DataFrame:
-    """O-S8 to S10: rows of new replace those of old with the same key and keep the old id; the last row of new wins."""
-    ordered = newest(new.withColumn("_at", F.monotonically_increasing_id()), key, "_at", null_bypass).drop("_at")
+def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], id_column: str, null_bypass: str | None = None, version: str | None = None) -> DataFrame:
+    """O-S8 to S10: rows of new replace those of old with the same key and keep the old id.
+
+    Of rows of new with one key that of the largest version wins, ties (and all, without a version column) by the largest row: no order
+    of partitions counts. The version column isn't stored unless old has it.
+    """
+    at = F.lit(0) if version is None else F.col(version)
+    ordered = newest(new.withColumn("_at", at), key, "_at", null_bypass).drop("_at")
     ids = old.select(*key, F.col(id_column).alias("_id")).where(F.col(null_bypass).isNotNull() if null_bypass else F.lit(True))
     named = ordered.join(ids, list(key), "left").withColumn(id_column, F.coalesce("_id", id_column)).select(*old.columns)
     kept = old.join(ordered.select(*key).where(F.col(null_bypass).isNotNull() if null_bypass else F.lit(True)), list(key), "left_anti").select(*old.columns)
     return kept.unionByName(named)
 
 
-def upsert_files(g: Graph, rows: DataFrame) -> Graph:
-    return replace(g, files=upsert(g.files, rows, FILE_KEY, "file_id"))
+def upsert_files(g: Graph, rows: DataFrame, version: str | None = None) -> Graph:
+    return replace(g, files=upsert(g.files, rows, FILE_KEY, "file_id", version=version))
 
 
-def upsert_symbols(g: Graph, rows: DataFrame) -> Graph:
-    return replace(g, symbols=upsert(g.symbols, rows, SYMBOL_KEY, "symbol_id"))
+def upsert_symbols(g: Graph, rows: DataFrame, version: str | None = None) -> Graph:
+    return replace(g, symbols=upsert(g.symbols, rows, SYMBOL_KEY, "symbol_id", version=version))
 
 
-def upsert_edges(g: Graph, rows: DataFrame) -> Graph:
-    return replace(g, edges=upsert(g.edges, rows, EDGE_KEY, "edge_id", "source_id"))
+def upsert_edges(g: Graph, rows: DataFrame, version: str | None = None) -> Graph:
+    return replace(g, edges=upsert(g.edges, rows, EDGE_KEY, "edge_id", "source_id", version))
 
 
 def delete_files(g: Graph, gone: DataFrame) -> Graph:
