@@ -95,9 +95,8 @@ class Tools:
         return Answer(parts)
 
     def conventions(self, domain: str = "", min_strength: float | None = None) -> Answer:
-        found = conventions.detect(self.g, domain)
         least = self.preset.strength if min_strength is None else min_strength
-        return Answer({"conventions": found.where(F.col("strength") >= least), "key_types": aggregates.key_symbols(self.g)})
+        return Answer({"conventions": conventions.detect(self.g, domain, least), "key_types": aggregates.key_symbols(self.g)})
 
     def status(self) -> Answer:
         return Answer(status.report(self.g) | {"doctor": status.doctor(self.g), "profile": aggregates.profile(self.g)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions import paths, text
+from graphloom.functions.shared import settle
 from graphloom.model import CONTAINERS, Graph
 from graphloom.operators.aggregates import coupling, in_degree
 
@@ -115,12 +116,17 @@ def service_objects(g: Graph) -> DataFrame:
     return g.symbols.where(F.col("kind").isin("class", "struct")).join(per.where("methods <= 2 and entry"), "symbol_id").select("symbol_id", "name", "methods")
 
 
-def layer_boundaries(g: Graph, domain: str = "") -> DataFrame:
-    """O-C9: layer pairs with three calls or more one way and none back."""
+def layer_calls(g: Graph) -> DataFrame:
+    """from, to, calls of layers that differ."""
     place = g.symbols.select("symbol_id", "file_id").join(g.files.select("file_id", paths.layer(F.col("path")).alias("layer")), "file_id").where("layer <> ''").select("symbol_id", "layer")
     e = g.edges.where("kind = 'calls' and source_id is not null").select("source_id", "target_id")
     a = e.join(place.select(F.col("symbol_id").alias("source_id"), F.col("layer").alias("from")), "source_id").join(place.select(F.col("symbol_id").alias("target_id"), F.col("layer").alias("to")), "target_id")
-    counts = a.where("from <> to").groupBy("from", "to").agg(F.count("*").alias("calls"))
+    return a.where("from <> to").groupBy("from", "to").agg(F.count("*").alias("calls"))
+
+
+def layer_boundaries(g: Graph) -> DataFrame:
+    """O-C9: layer pairs with three calls or more one way and none back."""
+    counts = layer_calls(g)
     back = counts.select(F.col("to").alias("from"), F.col("from").alias("to"))
     return counts.where(F.col("calls") >= LEAST).join(back, ["from", "to"], "left_anti")
 
@@ -188,8 +194,8 @@ def significance(base: Column, language: Column) -> Column:
     return F.when(base.isin(*FRAMEWORK_BASES), 0).when((language == "ruby") & base.contains("::"), 2).otherwise(1)
 
 
-def kept(found: DataFrame, domain: str = "", strength: float = 0.15, instances: int = 5, ratio: float = 0.10) -> DataFrame:
-    """O-C21."""
+def kept(found: DataFrame, domain: str = "", strength: float = 0.0, instances: int = 5, ratio: float = 0.10) -> DataFrame:
+    """O-C21: prevalent ones; those with an example in the domain and of the least strength, if asked."""
     out = found.where(((F.col("instances") >= instances) | (F.col("strength") >= ratio)) & (F.col("strength") >= strength))
     return out.where(F.exists("examples", lambda x: x.contains(domain))) if domain else out
 
@@ -229,7 +235,76 @@ def summary(found: DataFrame) -> str:
     return "; ".join(f"{r.description} ({r.instances})" for r in top)
 
 
-def detect(g: Graph, domain: str = "") -> DataFrame:
-    """O-C24: all grouped detectors, filtered and ordered as the tool does."""
-    found = reduce(DataFrame.unionByName, (f(g, domain) for f in (inheritance, naming, file_naming, structure, composition, testing)))
-    return ordered(kept(deduped(found), domain))
+def _count(g: Graph, domain: str, condition: Column | str) -> DataFrame:
+    """one, total: how many symbols of the domain fulfil the condition."""
+    return _symbols(g, domain).where(condition).agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+
+
+def _row(rows: DataFrame, total: DataFrame, category: str, description: str, least: int = LEAST) -> DataFrame:
+    """A single convention of what rows (symbol_id, name) hold, in the common form."""
+    placed = rows.select("symbol_id", "name").withColumns({"path": F.lit(""), "one": F.lit(1)})
+    return emit(placed, ["one"], total, ["one"], category, F.lit(description), least=least)
+
+
+def design_patterns(g: Graph, domain: str = "") -> DataFrame:
+    """O-C8 as a convention, against the classes that have callables."""
+    inside = _symbols(g, domain).select("symbol_id")
+    boxes = g.symbols.where(F.col("kind").isin("function", "method") & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("symbol_id")).distinct()
+    total = _symbols(g, domain).where(F.col("kind").isin("class", "struct")).join(boxes, "symbol_id", "left_semi").agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    return _row(service_objects(g).join(inside, "symbol_id", "left_semi"), total, "design-pattern", "classes are service objects with one entry method")
+
+
+def architecture(g: Graph, domain: str = "") -> DataFrame:
+    """O-C9 as conventions, against all calls between layers."""
+    inside = g.symbols.join(g.files.where(F.col("path").contains(domain)).select("file_id"), "file_id", "left_semi")
+    part = Graph(g.files, inside, g.edges)
+    found, total = layer_calls(part), F.sum("calls").over(W.partitionBy())  # one row per pair of layers
+    back = found.select(F.col("to").alias("from"), F.col("from").alias("to"))
+    one = found.withColumn("total", total).where(F.col("calls") >= LEAST).join(back, ["from", "to"], "left_anti")
+    description = F.concat(F.lit("layer "), F.col("from"), F.lit("/ depends on "), F.col("to"), F.lit("/, never back"))
+    return one.select(F.lit("architecture").alias("category"), description.alias("description"), F.col("calls").alias("instances"), "total", F.round(F.col("calls") / F.col("total"), 6).alias("strength"), F.array(F.concat("from", F.lit("/")), F.concat("to", F.lit("/"))).alias("examples"))
+
+
+def idioms(g: Graph, domain: str = "") -> DataFrame:
+    """O-C11 to O-C18 as conventions."""
+    inside = _symbols(g, domain)
+    here = lambda rows: rows.join(inside.select("symbol_id"), "symbol_id", "left_semi")
+    classes = lambda: _count(g, domain, "kind = 'class'")
+    named = inside.select("symbol_id", "name")
+    with_callbacks = inside.where(F.col("name").isin(*RAILS_CALLBACKS) & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("symbol_id")).distinct().join(named, "symbol_id")
+    parts = [
+        _row(with_callbacks, classes(), "framework", "classes use lifecycle callbacks"),
+        _row(scopes(g).join(named, "symbol_id"), classes(), "framework", "classes define query scopes"),
+        _row(here(hooks(g)), _count(g, domain, "kind = 'function'"), "framework", "functions are hooks named use*"),
+        _row(here(go_aliases(g)), _count(g, domain, F.col("kind").isin(*CONTAINERS) & F.col("path").endswith(".go")), "framework", "types are aliases in Go"),
+        _row(here(go_middleware(g)), _count(g, domain, (F.col("kind") == "function") & F.col("path").endswith(".go")), "framework", "functions are middleware of routers"),
+    ]
+    each = lambda rows, n, text_, total: rows.crossJoin(F.broadcast(total)).select(  # noqa: E731 (one row of a total)
+        F.lit("framework").alias("category"), F.concat(F.col("name"), F.lit(text_)).alias("description"), F.col(n).alias("instances"), "total", F.round(F.col(n) / F.col("total"), 6).alias("strength"), F.array("name").alias("examples")
+    )
+    parts.append(each(here(concerns(g)), "includers", " is a concern of several classes", _count(g, domain, "kind = 'module'").drop("one").where("total > 0")))
+    parts.append(each(here(go_interfaces(g)), "implementors", " is an interface of several types", _count(g, domain, F.col("kind").isin(*CONTAINERS) & F.col("path").endswith(".go")).drop("one").where("total > 0")))
+    styles = php_tests(Graph(g.files.where(F.col("path").contains(domain)), g.symbols, g.edges))
+    total = F.sum("files").over(W.partitionBy())  # two rows
+    parts.append(styles.withColumn("total", total).where(F.col("files") >= LEAST).select(F.lit("framework").alias("category"), F.concat(F.lit("PHP tests are written in "), F.col("style"), F.lit(" style")).alias("description"), F.col("files").alias("instances"), "total", F.round(F.col("files") / F.col("total"), 6).alias("strength"), F.array("style").alias("examples")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def key_type_row(g: Graph, surfaced: DataFrame, domain: str = "", limit: int = 8) -> DataFrame:
+    """O-C7 as a convention: the most depended on types that no earlier detector has shown."""
+    part = Graph(g.files, _symbols(g, domain).select(*g.symbols.columns), g.edges)
+    top = key_types(part, surfaced, limit).agg(F.count("*").alias("instances"), F.sort_array(F.collect_list(F.struct((-F.col("in_degree")).alias("d"), "symbol_id", "name"))).alias("t"))
+    total = part.symbols.where(F.col("kind").isin(*CONTAINERS)).agg(F.count("*").alias("total"))
+    return top.crossJoin(total).where("instances > 0").select(F.lit("key-types").alias("category"), F.lit("types that most depends on").alias("description"), "instances", "total", F.lit(1.0).alias("strength"), F.col("t.name").alias("examples"))  # a row each
+
+
+def detect(g: Graph, domain: str = "", strength: float = 0.0) -> DataFrame:
+    """O-C24: all detectors in the common form, deduplicated, filtered and ordered as the tool does; external ones with a domain only."""
+    first = reduce(DataFrame.unionByName, (f(g, domain) for f in (inheritance, naming, file_naming, structure, composition, testing, design_patterns, idioms, architecture)))
+    first = settle(first, "conventions")
+    shown = g.symbols.where(F.col("kind").isin(*CONTAINERS)).select("name").distinct()
+    said = first.where(F.col("category").isin("inheritance", "composition")).select(F.regexp_extract("description", r"^\S+ (?:inherit from|include|compose|embed) (.*)$", 1).alias("name")).distinct()
+    parts = [first, key_type_row(g, shown.join(said, "name", "left_semi"), domain)]
+    if domain:
+        parts.append(external(g, domain).select("category", "description", "instances", F.col("instances").alias("total"), "strength", F.array(F.regexp_replace("description", "^depends on ", "")).alias("examples")))
+    return ordered(kept(deduped(reduce(DataFrame.unionByName, parts)), domain, strength))

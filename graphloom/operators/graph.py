@@ -160,13 +160,12 @@ def inferred_callers(g: Graph, methods: DataFrame, few: int = 3, equivalents: in
     return ranked.select("symbol_id", F.col("source_id").alias("caller_id"), "via", F.lit(0.8).alias("confidence"))
 
 
-def also_called_by(g: Graph, root: DataFrame, most: int = 20) -> DataFrame:
-    """O-G11: per callee of the root its other callers, if no more than most."""
+def also_called_by(g: Graph, roots: DataFrame, most: int = 20) -> DataFrame:
+    """O-G11: per root and callee of it the number of its other callers, if there are any and no more than most."""
     calls = g.edges.where("kind = 'calls' and source_id is not null").select("source_id", "target_id").distinct()
-    r = root.select(F.col("symbol_id").alias("source_id"))
-    callees = calls.join(r, "source_id", "left_semi").select("target_id").distinct()
-    others = calls.join(callees, "target_id", "left_semi").join(r, "source_id", "left_anti").groupBy(F.col("target_id").alias("callee_id")).agg(F.count("*").alias("others"))
-    return others.where(F.col("others") <= most)
+    callers = calls.groupBy("target_id").agg((F.count("*") - 1).alias("others")).where(F.col("others").between(1, most))
+    own = calls.join(roots.select(F.col("symbol_id").alias("source_id")).distinct(), "source_id", "left_semi").join(callers, "target_id")
+    return own.select(F.col("source_id").alias("root_id"), F.col("target_id").alias("callee_id"), "others")
 
 
 def collapse_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:

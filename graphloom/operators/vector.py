@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,20 @@ def nearest_batched(vectors: DataFrame, id_column: str, column: str, queries: np
     return part.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
+def nearest_all(vectors: DataFrame, queries: DataFrame, id_column: str, column: str, k: int, block: int = 4096) -> DataFrame:
+    """O-J18: query, id, similarity, rank of the k nearest of every row of queries, which is held against all vectors in blocks of about so many."""
+    spark, n = vectors.sparkSession, queries.count()
+    blocks, parts = max(1, -(-n // block)), []
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == b).select(id_column, column).orderBy(id_column).collect()
+        if own:
+            names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(own)], "query int, query_id long")
+            found = nearest_batched(vectors, id_column, column, np.array([r[1] for r in own], np.float64), k)
+            parts.append(found.join(F.broadcast(names), "query").select(F.col("query_id").alias("query"), "id", "similarity", "rank"))  # a block of rows
+    none = spark.createDataFrame([], "query long, id long, similarity double, rank int")
+    return reduce(DataFrame.unionByName, parts, none)
+
+
 def confidence(ranked: DataFrame, top: int = 3) -> DataFrame:
     """O-T6: mean similarity of the best few; zero without any."""
     return ranked.orderBy(F.desc("similarity"), "id").limit(top).agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("confidence"))

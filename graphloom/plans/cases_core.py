@@ -83,11 +83,11 @@ def _(g, spark, sf):
 
 @case(
     "W7_top_callers",
-    """, c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'calls' AND target_id BETWEEN 3000000000 AND 3999999999 AND target_id % 50 = 0),
+    """, c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'calls' AND target_id BETWEEN 3000000000 AND 3999999999),
  r AS (SELECT target_id, qualified AS caller, row_number() OVER (PARTITION BY target_id ORDER BY qualified, source_id)::INT AS rank FROM c JOIN symbols ON symbol_id = source_id) SELECT * FROM r WHERE rank <= 3""",
 )
 def _(g, spark, sf):
-    return ag.top_callers(g, g.symbols.where("kind = 'function' and symbol_id % 50 = 0"))
+    return ag.top_callers(g, g.symbols.where("kind = 'function'"))
 
 
 @case(

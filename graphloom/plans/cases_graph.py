@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.model import CONTAINERS
 from graphloom.operators import blast as bl
 from graphloom.operators import conventions as cv
 from graphloom.operators import dead as dd
@@ -15,7 +16,7 @@ from graphloom.sources import projection as pj
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Queries that read the graph many times over.
-ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "G5_bfs_capped", "D5_unreferenced", "D7_verdicts", "D15_grouped"}
+ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "G5_bfs_capped", "D5_unreferenced", "D7_verdicts", "D15_grouped", "C24_detect"}
 
 
 def case(name: str, sql: str | None = None, extra: str = ""):
@@ -33,9 +34,9 @@ _BUCKET = """CASE WHEN e.kind IN ('calls','references') THEN CASE WHEN side = 'o
 _NEAR = ", near AS (SELECT source_id AS root_id, target_id AS other_id, kind, confidence, 'out' AS side FROM edges UNION ALL SELECT target_id, source_id, kind, confidence, 'in' FROM edges)"
 
 
-@case("G4_neighbourhood", "SELECT root_id, other_id, e.kind, confidence, side, qualified AS other FROM near e JOIN symbols ON symbol_id = other_id WHERE root_id BETWEEN 3000000001 AND 3000000020", _NEAR)
+@case("G4_neighbourhood", "SELECT root_id, other_id, e.kind, confidence, side, qualified AS other FROM near e JOIN symbols ON symbol_id = other_id", _NEAR)
 def _(g, spark, sf):
-    return gr.neighbourhood(g, g.symbols.where("symbol_id between 3000000001 and 3000000020"))
+    return gr.neighbourhood(g, g.symbols)
 
 
 @case(
@@ -57,24 +58,22 @@ def _(g, spark, sf):
     return gr.lookup(g, "Suplier#00000007")
 
 
-def _hops(n: int) -> str:
-    """Reverse steps unrolled, with the visited set."""
-    parts = [", e AS (SELECT source_id, target_id, kind, confidence FROM edges WHERE confidence >= 0.1), r0 AS (SELECT s.symbol_id, 0 AS hop, 1.0::DOUBLE AS c, NULL::VARCHAR AS kind FROM symbols s JOIN symbols x ON x.symbol_id = 3000000007 AND s.qualified = x.qualified AND s.kind = x.kind), v0 AS (SELECT * FROM r0)"]
+def _hops(n: int, seeds: str = "x.symbol_id = 3000000007", least: float = 0.5, frontier: int = 500) -> str:
+    """Reverse steps unrolled from one seed, with the visited set and the frontier's cap."""
+    parts = [f", e AS (SELECT source_id, target_id, kind, confidence FROM edges WHERE confidence >= 0.1), fan AS (SELECT target_id, count(*) AS fan FROM e GROUP BY 1), r0 AS (SELECT s.symbol_id, 0 AS hop, 1.0::DOUBLE AS c, NULL::VARCHAR AS kind, NULL::BIGINT AS via FROM symbols s JOIN symbols x ON {seeds} AND s.qualified = x.qualified AND s.kind = x.kind), v0 AS (SELECT * FROM r0)"]
     for k in range(1, n + 1):
         parts.append(
             f", s{k} AS (SELECT source_id AS symbol_id, e.kind, round(r.c * confidence * CASE e.kind WHEN 'inherits' THEN 0.7 WHEN 'composes' THEN 0.5 ELSE 1 END, 12) AS c, target_id FROM e JOIN r{k - 1} r ON target_id = r.symbol_id)"
-            f", r{k} AS (SELECT symbol_id, {k} AS hop, c, kind FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY c DESC, target_id, kind) AS n FROM s{k} WHERE c >= CASE WHEN kind IN ('inherits','composes') THEN 0.2 ELSE 0.5 END) WHERE n = 1 AND symbol_id NOT IN (SELECT symbol_id FROM v{k - 1}))"
+            f", b{k} AS (SELECT symbol_id, {k} AS hop, c, kind, target_id AS via FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY c DESC, target_id, kind) AS n FROM s{k} WHERE c >= CASE WHEN kind IN ('inherits','composes') THEN {min(0.2, least)} ELSE {least} END) WHERE n = 1 AND symbol_id NOT IN (SELECT symbol_id FROM v{k - 1}))"
+            f", r{k} AS (SELECT b.* FROM b{k} b LEFT JOIN fan ON fan.target_id = b.symbol_id QUALIFY row_number() OVER (ORDER BY c DESC, coalesce(fan, 0) DESC, symbol_id) <= {frontier})"
             f", v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM r{k})"
         )
     return "".join(parts)
 
 
-_WIDE = bl.Options(3, 0.5, 100, 1_000_000)
-
-
 @case("G13_blast_reach", "SELECT symbol_id, hop, round(c, 6) AS confidence FROM v3", _hops(3))
 def _(g, spark, sf):
-    return bl.reach(g, g.symbols.where("symbol_id = 3000000007"), _WIDE).select("symbol_id", "hop", F.round("confidence", 6).alias("confidence"))
+    return bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.ENGINE).select("symbol_id", "hop", F.round("confidence", 6).alias("confidence"))
 
 
 @case(
@@ -83,7 +82,7 @@ def _(g, spark, sf):
     _hops(3),
 )
 def _(g, spark, sf):
-    return bl.risk(bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), _WIDE)))
+    return bl.risk(bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.ENGINE)))
 
 
 @case(
@@ -92,7 +91,7 @@ def _(g, spark, sf):
     _hops(2),
 )
 def _(g, spark, sf):
-    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(2, 0.5, 100, 1_000_000)))
+    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(2)))
     return bl.capped(rows, g.edges, 100).select("symbol_id", "hop", "rank")
 
 
@@ -110,27 +109,31 @@ def _(g, spark, sf):
     return gr.bfs(g, g.symbols.where("symbol_id = 3000000007"))
 
 
-_FOLD = """, m AS (SELECT symbol_id AS member, parent_id AS root_id FROM symbols WHERE parent_id BETWEEN 1000000001 AND 1000000300),
- f AS (SELECT root_id, source_id AS symbol_id, min(target_id) AS member FROM edges JOIN m ON target_id = member WHERE kind IN ('calls','references') AND confidence >= 0.5 GROUP BY 1, 2)"""
+_CONTAINERS = "kind IN ('class','module','interface','type')"
+_FOLD = f""", m AS (SELECT s.symbol_id AS member, s.parent_id AS root_id FROM symbols s JOIN symbols r ON r.symbol_id = s.parent_id WHERE r.{_CONTAINERS}),
+ u AS (SELECT source_id, target_id FROM edges WHERE kind IN ('calls','references') AND confidence >= 0.5),
+ f AS (SELECT root_id, source_id AS symbol_id, min(target_id) AS member FROM u JOIN m ON target_id = member GROUP BY 1, 2),
+ k AS (SELECT * FROM f WHERE symbol_id <> root_id AND (root_id, symbol_id) NOT IN (SELECT (root_id, member) FROM m)),
+ d AS (SELECT target_id AS root_id, count(DISTINCT source_id) AS direct FROM u GROUP BY 1)"""
 
 
-@case("G6_member_callers", "SELECT f.* FROM f WHERE symbol_id <> root_id AND NOT EXISTS (FROM m WHERE m.root_id = f.root_id AND m.member = f.symbol_id)", _FOLD)
+@case("G6_member_callers", "SELECT k.* FROM k WHERE root_id NOT IN (SELECT root_id FROM (SELECT root_id, count(*) AS n FROM k GROUP BY 1) JOIN d USING (root_id) WHERE direct >= 3 AND n < 5 * direct)", _FOLD)
 def _(g, spark, sf):
-    return gr.member_callers(g, g.symbols.where("symbol_id between 1000000001 and 1000000300"))
+    return gr.member_callers(g, g.symbols.where(F.col("kind").isin(*CONTAINERS)))
 
 
 @case(
     "G7_member_callees",
-    "SELECT root_id, target_id AS symbol_id, min(source_id) AS member FROM edges JOIN m ON source_id = member WHERE kind IN ('calls','references') AND target_id <> root_id AND NOT EXISTS (FROM m x WHERE x.root_id = m.root_id AND x.member = target_id) GROUP BY 1, 2",
-    ", m AS (SELECT symbol_id AS member, parent_id AS root_id FROM symbols WHERE parent_id BETWEEN 1000000001 AND 1000000300)",
+    "SELECT root_id, target_id AS symbol_id, min(source_id) AS member FROM edges JOIN m ON source_id = member WHERE kind IN ('calls','references') AND target_id <> root_id AND root_id NOT IN (SELECT source_id FROM edges WHERE kind IN ('calls','references')) AND (root_id, target_id) NOT IN (SELECT (root_id, member) FROM m) GROUP BY 1, 2",
+    _FOLD,
 )
 def _(g, spark, sf):
-    return gr.member_callees(g, g.symbols.where("symbol_id between 1000000001 and 1000000300"))
+    return gr.member_callees(g, g.symbols.where(F.col("kind").isin(*CONTAINERS)))
 
 
-@case("G11_also_called_by", "SELECT target_id AS callee_id, count(*) AS others FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'calls') WHERE source_id NOT IN (SELECT symbol_id FROM symbols WHERE symbol_id BETWEEN 4000000001 AND 4000000010) AND target_id IN (SELECT target_id FROM edges WHERE kind = 'calls' AND source_id BETWEEN 4000000001 AND 4000000010) GROUP BY 1 HAVING count(*) <= 20")
+@case("G11_also_called_by", "SELECT source_id AS root_id, target_id AS callee_id, n - 1 AS others FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'calls') JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE kind = 'calls' GROUP BY 1) USING (target_id) WHERE n BETWEEN 2 AND 21")
 def _(g, spark, sf):
-    return gr.also_called_by(g, g.symbols.where("symbol_id between 4000000001 and 4000000010"))
+    return gr.also_called_by(g, g.symbols)
 
 
 @case(
@@ -149,18 +152,22 @@ def _(g, spark, sf):
 
 @case("G22_groups", "SELECT DISTINCT target_id AS seed, source_id AS symbol_id, 'via_composition' AS \"group\" FROM edges WHERE kind = 'composes' AND target_id = 1000000003")
 def _(g, spark, sf):
-    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 1000000003"), bl.Options(1, 0.3, 200, 1_000_000)))
+    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 1000000003"), bl.Options(1, 0.3, 200)))
     return bl.groups(rows, g)
 
 
 @case("G27_parents", "SELECT DISTINCT 3000000007::BIGINT AS seed, parent_id AS symbol_id FROM v1 JOIN symbols USING (symbol_id) WHERE hop > 0 AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT symbol_id FROM v1)", _hops(1))
 def _(g, spark, sf):
-    return bl.parents(bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(1, 0.5, 200, 1_000_000))), g)
+    return bl.parents(bl.affected(g, bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(1, 0.5, 200))), g)
 
 
-@case("G33_diff", "SELECT source_id AS symbol_id, count(DISTINCT x.symbol_id) AS seeds FROM symbols x JOIN symbols s ON s.qualified = x.qualified AND s.kind = x.kind JOIN edges ON target_id = s.symbol_id WHERE x.symbol_id BETWEEN 3000000001 AND 3000000005 AND confidence >= 0.5 GROUP BY 1")
+@case(
+    "G33_diff",
+    """SELECT symbol_id, count(*) AS seeds FROM (SELECT seed, symbol_id FROM (SELECT x.symbol_id AS seed, e.source_id AS symbol_id, max(confidence) AS c FROM symbols x JOIN symbols s ON s.qualified = x.qualified AND s.kind = x.kind JOIN edges e ON target_id = s.symbol_id
+ WHERE x.symbol_id BETWEEN 3000000001 AND 3000000005 AND confidence >= 0.5 GROUP BY 1, 2) LEFT JOIN (SELECT target_id, count(*) AS fan FROM edges GROUP BY 1) ON target_id = symbol_id QUALIFY row_number() OVER (PARTITION BY seed ORDER BY c DESC, coalesce(fan, 0) DESC, symbol_id) <= 500) GROUP BY 1""",
+)
 def _(g, spark, sf):
-    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id between 3000000001 and 3000000005"), bl.Options(1, 0.5, 200, 1_000_000)))
+    rows = bl.affected(g, bl.reach(g, g.symbols.where("symbol_id between 3000000001 and 3000000005"), bl.Options(1)))
     return bl.merged(rows, bl.risk(rows))[0].select("symbol_id", "seeds")
 
 
@@ -245,9 +252,13 @@ def _(g, spark, sf):
     return cv.testing(g).select("category", "description", "instances", "total")
 
 
-@case("C7_key_types", "SELECT symbol_id, name, s.kind, count(*) AS in_degree FROM symbols s JOIN edges ON target_id = symbol_id WHERE s.kind IN ('class','module','interface','type') AND symbol_id % 10 <> 3 GROUP BY ALL ORDER BY in_degree DESC, symbol_id LIMIT 8")
+@case(
+    "C7_key_types",
+    "SELECT symbol_id, name, s.kind, count(*) AS in_degree FROM symbols s JOIN edges ON target_id = symbol_id WHERE s.kind IN ('class','module','interface','type') AND name NOT IN (SELECT t.name FROM edges e JOIN symbols t ON t.symbol_id = e.target_id WHERE e.kind = 'composes' GROUP BY 1 HAVING count(DISTINCT source_id) >= 3) GROUP BY ALL ORDER BY in_degree DESC, symbol_id LIMIT 8",
+)
 def _(g, spark, sf):
-    return cv.key_types(g, g.symbols.where("symbol_id % 10 = 3").select("name"))
+    shown = g.edges.where("kind = 'composes'").groupBy("target_id").agg(F.countDistinct("source_id").alias("n")).where("n >= 3")
+    return cv.key_types(g, shown.join(g.symbols, F.col("target_id") == F.col("symbol_id")).select("name"))
 
 
 @case("C8_service_objects", "SELECT s.symbol_id, s.name, count(*) AS methods FROM symbols s JOIN symbols m ON m.parent_id = s.symbol_id WHERE s.kind = 'class' GROUP BY ALL HAVING count(*) <= 2 AND bool_or(m.name = 'call')")
@@ -295,13 +306,13 @@ def _(g, spark, sf):
     return dv.ancestry(g)
 
 
-_RESOLVED = """, p AS (SELECT source_id, target_id, e.file_id, f.language, contains(path, '_test.') AS t, s.qualified AS target FROM edges e JOIN files f USING (file_id) JOIN symbols s ON s.symbol_id = e.target_id WHERE e.kind = 'references' AND s.symbol_id % 3 = 0)
+_RESOLVED = """, p AS (SELECT source_id, target_id, e.file_id, f.language, contains(path, '_test.') AS t, s.qualified AS target FROM edges e JOIN files f USING (file_id) JOIN symbols s ON s.symbol_id = e.target_id WHERE e.kind = 'references')
 , c AS (SELECT p.source_id, p.target_id AS was, r.symbol_id, row_number() OVER (PARTITION BY p.source_id, p.target_id ORDER BY (r.file_id <> p.file_id), r.symbol_id) AS k, count(*) OVER (PARTITION BY p.source_id, p.target_id) AS n FROM p JOIN symbols r ON r.qualified = p.target JOIN files g ON g.file_id = r.file_id WHERE g.language = p.language AND (p.t OR NOT contains(g.path, '_test.')))"""
 
 
 @case("R2_resolve", "SELECT source_id, symbol_id AS target_id, CASE WHEN n = 1 THEN 1.0 ELSE 0.8 END AS confidence, n > 1 AS ambiguous FROM c WHERE k = 1", _RESOLVED)
 def _(g, spark, sf):
-    e = g.edges.where("kind = 'references' and target_id % 3 = 0").join(g.symbols.select(F.col("symbol_id").alias("target_id"), F.col("qualified").alias("target")), "target_id")
+    e = g.edges.where("kind = 'references'").join(g.symbols.select(F.col("symbol_id").alias("target_id"), F.col("qualified").alias("target")), "target_id")
     pending = e.select(
         F.xxhash64("source_id", "target_id").alias("edge_no"), "source_id", F.col("file_id").alias("source_file_id"), F.lit("x").alias("source_qualified"), F.lit("").alias("source_parent"), "target", "kind", F.lit(1.0).alias("base"), F.lit("").alias("receiver")
     )

@@ -84,6 +84,28 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(files(spark, sf_dir), symbols(spark, sf_dir), edges(spark, sf_dir))
 
 
+def variant(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same graph with what it lacks: class names with suffixes, qualified names in scopes, methods of interfaces, and entry files.
+
+    Classes are named after their market segment and qualified by their directory; methods of even keys belong to one of ten interfaces; every
+    fifth file is a main.go.
+    """
+    g = graph(spark, sf_dir)
+    files = g.files.withColumn("path", F.when(F.col("file_id") % 5 == 0, F.replace("path", F.lit("node.go"), F.lit("main.go"))).otherwise(F.col("path")))
+    scope = F.replace(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"), F.lit("::"))
+    segment = table(spark, sf_dir, "customer").select((F.col("c_custkey") + CUSTOMER).alias("owner"), F.initcap(F.lower("c_mktsegment")).alias("segment"), F.col("c_custkey").alias("key"))
+    owner = F.when(F.col("kind") == "class", F.col("symbol_id")).when(F.col("kind") == "method", F.col("parent_id"))
+    s = g.symbols.withColumn("owner", owner).join(segment, "owner", "left").join(files.select("file_id", scope.alias("scope")), "file_id")
+    named = F.concat(F.lit("C"), F.col("key").cast("string"), F.col("segment"))
+    full = F.concat_ws("::", "scope", named)
+    s = s.withColumns({
+        "name": F.when(F.col("kind") == "class", named).otherwise(F.col("name")),
+        "qualified": F.when(F.col("kind") == "class", full).when(F.col("kind") == "method", F.concat_ws("#", full, "name")).otherwise(F.col("qualified")),
+        "parent_id": F.when((F.col("kind") == "method") & (F.col("symbol_id") % 2 == 0), SUPPLIER + F.col("parent_id") % 10).otherwise(F.col("parent_id")),
+    })
+    return Graph(files, s.select(*g.symbols.columns), g.edges)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commit_id, path, dir: an order is a commit, a supplier's nation the directory of its file."""
     supplier, lineitem = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
@@ -111,4 +133,12 @@ edges AS (
   UNION ALL SELECT c_custkey + {CUSTOMER}, s_suppkey + {SUPPLIER}, 'inherits', c_nationkey, 0.9 FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10
   UNION ALL SELECT c_custkey + {CUSTOMER}, c_custkey // 10 + {CUSTOMER}, 'composes', c_nationkey, 0.9 FROM customer WHERE c_custkey // 10 > 0)
 """
+#: The same for variant(); edges are as they are.
+VARIANT_SQL = f"""{SQL.replace('files AS (', 'plain_files AS (', 1).replace('symbols AS (', 'plain_symbols AS (', 1)},
+files AS (SELECT file_id, CASE WHEN file_id % 5 = 0 THEN replace(path, 'node.go', 'main.go') ELSE path END AS path, language FROM plain_files),
+symbols AS (SELECT symbol_id, file_id, CASE WHEN kind = 'class' THEN cname ELSE name END AS name, CASE kind WHEN 'class' THEN scope || '::' || cname WHEN 'method' THEN scope || '::' || cname || '#' || name ELSE qualified END AS qualified, kind, visibility,
+  CASE WHEN kind = 'method' AND symbol_id % 2 = 0 THEN {SUPPLIER} + parent_id % 10 ELSE parent_id END AS parent_id, line_start, line_end
+  FROM (SELECT s.*, 'C' || c_custkey || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS cname, replace(regexp_replace(path, '/[^/]*$', ''), '/', '::') AS scope
+    FROM plain_symbols s JOIN files USING (file_id) LEFT JOIN customer ON c_custkey + {CUSTOMER} = CASE WHEN s.kind = 'class' THEN s.symbol_id WHEN s.kind = 'method' THEN s.parent_id END))
+"""
 COMMITS_SQL = "commits AS (SELECT DISTINCT l_orderkey AS commit_id, printf('d%02d/f%d.rb', s_nationkey, s_suppkey) AS path FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
