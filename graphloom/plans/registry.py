@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as gr
-from graphloom.plans import cases_core, cases_fixture, cases_graph, cases_more, cases_text
+from graphloom.plans import cases_core, cases_fixture, cases_graph, cases_more, cases_source, cases_text
 from graphloom.sources import projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (cases_core, cases_graph, cases_fixture, cases_text, cases_more):
+for module in (cases_core, cases_graph, cases_fixture, cases_text, cases_more, cases_source):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 

@@ -281,7 +281,8 @@ def by_lines(source: str, language: str) -> Found:
         elif mixins and (m := mixins.match(line)) and parent:
             found.edge(parent["qualified"], m["name"], "includes", n)
         doc = []
-        body = line[hit[1].end() - 1 :] if hit and hit[0] in ("function", "method") and "{" in line else "" if hit else line
+        opened = line.find("{", hit[1].end() - 1) if hit and hit[0] in ("function", "method") else -1
+        body = line if not hit else line[opened:] if opened >= 0 else ""
         here = next((x["qualified"] for x in reversed(open_) if x["kind"] in ("function", "method")), parent["qualified"] if parent else None)
         bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "''", body)
         for m in _CALL.finditer(bare):

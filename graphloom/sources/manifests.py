@@ -22,13 +22,21 @@ def tree(spark: SparkSession, root: str, rules: list[str] | None = None, max_kb:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.escape(root.rstrip("/").removeprefix("file://"))
     df = found.select(F.regexp_replace("path", f"^(?:file:)?/*{base.lstrip('/')}/", "").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-    df = df.where((F.col("length") <= max_kb * 1024) & ~F.col("path").rlike(r"(^|/)\.[^/]"))
-    if rules:
-        df = df.where(~ignored(F.col("path"), rules))
-    df = df.withColumn("content", F.decode("content", "UTF-8"))
+    df = listed(df, rules, max_kb).withColumn("content", F.decode("content", "UTF-8"))
     return df.where(~generated(F.col("content")))
 
 
+def listed(files: DataFrame, rules: list[str] | None, max_kb: int) -> DataFrame:
+    """O-S1 to O-S3: files (path, length) that are in no dot folder, not too long, and not ignored."""
+    df = files.where((F.col("length") <= max_kb * 1024) & ~F.col("path").rlike(r"(^|/)\.[^/]"))
+    return df.where(~ignored(F.col("path"), rules)) if rules else df
+
+
+def kept(files: DataFrame, rules: list[str] | None, max_kb: int) -> DataFrame:
+    """O-S1 to O-S4 over a listing whose content is there: path, length, content."""
+    return listed(files, rules, max_kb).where(~generated(F.col("content")))
+
+
 def pattern_of(rule: str) -> tuple[str, bool]:
     """O-S2: the expression of one ignore rule, and whether it takes paths back. '' for blanks and comments."""
     rule = rule.rstrip()

@@ -37,6 +37,11 @@ def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame
     return out.select(F.col("w.start").alias("started"), "event_type", "events", "total")
 
 
+def last_operations(feed: DataFrame) -> DataFrame:
+    """O-I3: path, op: what happened last to every path. feed: path, op, ts."""
+    return feed.groupBy("path").agg(F.max_by("op", "ts").alias("op"))
+
+
 def follow(feed: DataFrame, apply: Callable[[list[str], list[str]], None], checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """O-I1, O-I3: each micro-batch's last operation per path goes to apply(changed, removed); Spark's checkpoint keeps one writer and restarts (O-I8).
 
@@ -44,7 +49,7 @@ def follow(feed: DataFrame, apply: Callable[[list[str], list[str]], None], check
     """
 
     def run(df: DataFrame, _: int) -> None:
-        last = df.groupBy("path").agg(F.max_by("op", "ts").alias("op")).collect()
+        last = last_operations(df).collect()
         if last:
             apply(sorted(r.path for r in last if r.op == "changed"), sorted(r.path for r in last if r.op == "removed"))
 
