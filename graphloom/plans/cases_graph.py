@@ -16,7 +16,7 @@ from graphloom.sources import projection as pj
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Queries that read the graph many times over.
-ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "G5_bfs_capped", "D5_unreferenced", "D7_verdicts", "D15_grouped", "C24_detect"}
+ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "D5_unreferenced", "D7_verdicts", "D15_grouped"}
 
 
 def case(name: str, sql: str | None = None, extra: str = ""):
@@ -104,11 +104,6 @@ def _(g, spark, sf):
     return gr.bfs(g, g.symbols.where("symbol_id = 1000000005"), 2, cap=1_000_000).select("symbol_id", "hop")
 
 
-@case("G5_bfs_capped")
-def _(g, spark, sf):
-    return gr.bfs(g, g.symbols.where("symbol_id = 3000000007"))
-
-
 _CONTAINERS = "kind IN ('class','module','interface','type')"
 _FOLD = f""", m AS (SELECT s.symbol_id AS member, s.parent_id AS root_id FROM symbols s JOIN symbols r ON r.symbol_id = s.parent_id WHERE r.{_CONTAINERS}),
  u AS (SELECT source_id, target_id FROM edges WHERE kind IN ('calls','references') AND confidence >= 0.5),
@@ -279,11 +274,6 @@ def _(g, spark, sf):
     return cv.go_interfaces(g)
 
 
-@case("C24_detect")
-def _(g, spark, sf):
-    return cv.detect(g)
-
-
 _CO = ", f AS (SELECT commit_id, path, split_part(path, '/', 1) AS d FROM commits), n AS (SELECT path, count(*) AS n FROM f GROUP BY 1)"
 
 

@@ -291,17 +291,22 @@ def _(g, spark, sf):
     return gr.categories(gr.neighbourhood(g, g.symbols, "callers"), 0.92).where("bucket = 'called_by'").select("root_id", "bucket", "hidden", "completeness")
 
 
-_BFS = """, adj AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
- h0 AS (SELECT 3000000007::BIGINT AS symbol_id, 0 AS hop, FALSE AS truncated),
- n1 AS (SELECT b AS symbol_id, min(a) AS a FROM adj JOIN h0 ON a = symbol_id WHERE b NOT IN (SELECT symbol_id FROM h0) GROUP BY 1),
- h1 AS (SELECT symbol_id, 1 AS hop, (SELECT count(*) FROM n1) > {0} AS truncated FROM n1 ORDER BY a, symbol_id LIMIT {0}),
- n2 AS (SELECT b AS symbol_id, min(a) AS a FROM adj JOIN h1 ON a = symbol_id WHERE NOT truncated AND b NOT IN (SELECT symbol_id FROM h0 UNION ALL SELECT symbol_id FROM h1) GROUP BY 1),
- h2 AS (SELECT symbol_id, 2 AS hop, (SELECT count(*) FROM n2) > {0} AS truncated FROM n2 ORDER BY a, symbol_id LIMIT {0})"""
+def _capped(hops: int, cap: int) -> str:
+    """Steps both ways from one symbol, each cut at cap; a cut hop is the last."""
+    out = ", adj AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges), h0 AS (SELECT 3000000007::BIGINT AS symbol_id, 0 AS hop, FALSE AS truncated), all0 AS (FROM h0)"
+    for k in range(1, hops + 1):
+        out += f", n{k} AS (SELECT b AS symbol_id, min(a) AS a FROM adj JOIN h{k - 1} ON a = symbol_id WHERE NOT truncated AND b NOT IN (SELECT symbol_id FROM all{k - 1}) GROUP BY 1), h{k} AS (SELECT symbol_id, {k} AS hop, (SELECT count(*) FROM n{k}) > {cap} AS truncated FROM n{k} ORDER BY a, symbol_id LIMIT {cap}), all{k} AS (FROM all{k - 1} UNION ALL FROM h{k})"
+    return out
 
 
-@case("W6_hop_cap", "SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2", _BFS.replace("{0}", "200"))
+@case("W6_hop_cap", "FROM all2", _capped(2, 50))
 def _(g, spark, sf):
-    return gr.bfs(g, g.symbols.where("symbol_id = 3000000007"), 2)
+    return gr.bfs(g, g.symbols.where("symbol_id = 3000000007"), 2, cap=50)
+
+
+@case("G5_bfs_capped", "FROM all3", _capped(3, 200))
+def _(g, spark, sf):
+    return gr.bfs(g, g.symbols.where("symbol_id = 3000000007"))
 
 
 @case("W15_dominant_none", "SELECT symbol_id FROM symbols WHERE FALSE")
@@ -493,6 +498,28 @@ def _(g, spark, sf):
     return present.snippets(lines.where("line = 2"), lines)
 
 
+_DETECT = f""", place AS (SELECT s.*, path, language, contains(path, '_test.') AS t FROM symbols s JOIN files USING (file_id)), per AS (SELECT kind, count(*) AS total FROM place WHERE NOT t GROUP BY 1),
+ inh AS (SELECT 'inheritance' AS category, {_KINDS.replace('kind', 's.kind')} || ' inherit from ' || x.name AS description, count(DISTINCT source_id) AS instances, max(total) AS total, x.name AS said FROM edges e JOIN place s ON source_id = s.symbol_id JOIN symbols x ON target_id = x.symbol_id JOIN per ON per.kind = s.kind WHERE e.kind = 'inherits' AND NOT s.t AND NOT (language = 'go' AND x.kind = 'interface') GROUP BY x.name, s.kind),
+ com AS (SELECT 'composition' AS category, {_KINDS.replace('kind', 's.kind')} || CASE WHEN language = 'go' THEN ' embed ' ELSE ' compose ' END || x.name AS description, count(DISTINCT source_id) AS instances, max(total) AS total, x.name AS said FROM edges e JOIN place s ON source_id = s.symbol_id JOIN symbols x ON target_id = x.symbol_id JOIN per ON per.kind = s.kind WHERE e.kind = 'composes' AND NOT s.t GROUP BY x.name, s.kind, language = 'go'),
+ top AS (SELECT *, contains(path, '_test.go') AS tested FROM place WHERE parent_id IS NULL), fil AS (SELECT 'naming' AS category, 'files of ' || {_KINDS} || ' end in _test.go' AS description, count(DISTINCT file_id) FILTER (tested) AS instances, count(DISTINCT file_id) AS total, NULL AS said FROM top GROUP BY kind),
+ tes AS (SELECT 'testing' AS category, 'test files are named *_test.go' AS description, count(*) AS instances, count(*) AS total, NULL AS said FROM files WHERE contains(path, '_test.')),
+ gos AS (SELECT 'framework' AS category, name || ' is an interface of several types' AS description, count(DISTINCT source_id) AS instances, (SELECT count(*) FROM symbols WHERE kind IN {CONTAINED}) AS total, NULL AS said FROM symbols s JOIN edges e ON target_id = symbol_id WHERE s.kind = 'interface' AND e.kind = 'inherits' GROUP BY symbol_id, name HAVING count(DISTINCT source_id) >= 2),
+ lay AS (SELECT split_part(a.path, '/', 2) AS f, split_part(b.path, '/', 2) AS g, count(*) AS n FROM edges e JOIN place a ON source_id = a.symbol_id JOIN place b ON target_id = b.symbol_id WHERE e.kind = 'calls' AND f <> g GROUP BY ALL),
+ arc AS (SELECT 'architecture' AS category, 'layer ' || f || '/ depends on ' || g || '/, never back' AS description, n AS instances, (SELECT sum(n) FROM lay)::BIGINT AS total, NULL AS said FROM lay x WHERE n >= 3 AND NOT EXISTS (FROM lay y WHERE y.f = x.g AND y.g = x.f)),
+ sto AS (SELECT 'structure' AS category, description, instances, total, NULL AS said FROM st),
+ every AS (SELECT * FROM (FROM inh UNION ALL FROM com UNION ALL FROM fil UNION ALL FROM tes) WHERE instances >= 3 UNION ALL FROM gos UNION ALL FROM arc UNION ALL FROM sto),
+ best AS (SELECT symbol_id FROM symbols s JOIN edges ON target_id = symbol_id WHERE s.kind IN {CONTAINED} AND name NOT IN (SELECT said FROM every WHERE said IS NOT NULL) GROUP BY 1 ORDER BY count(*) DESC, symbol_id LIMIT 8)"""
+
+
+@case(
+    "C24_detect",
+    f"SELECT category, description, instances, total, round(instances / total, 6) AS strength FROM every WHERE instances >= 5 OR instances / total >= 0.1 UNION ALL SELECT 'key-types', 'types that most depends on', count(*), (SELECT count(*) FROM symbols WHERE kind IN {CONTAINED}), 1.0 FROM best HAVING count(*) > 0",
+    _STRUCTURE + _DETECT, pinned=True,
+)
+def _(g, spark, sf):
+    return cv.detect(g).select("category", "description", "instances", "total", "strength")
+
+
 # --- Dead-code voices --------------------------------------------------------------------------------------------------------------
 
 _CORE = _CAND + """, judged AS (SELECT symbol_id, CASE WHEN visibility = 'public' THEN 'core_exported_api' WHEN language = 'ruby' AND kind = 'class' THEN 'ruby_class' WHEN language = 'python' AND kind NOT IN ('function','method','class') THEN 'py_public'

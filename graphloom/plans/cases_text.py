@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text
 from graphloom.operators import fulltext as ft
-from graphloom.operators import present, scoring, search, vector
+from graphloom.operators import present, scoring, search, store, vector
 from graphloom.sources import extractors, manifests
 from graphloom.sources import projection as pj
 from graphloom.streaming import incremental
@@ -75,7 +75,14 @@ def _(spark, sf):
     return _values(spark, "path", PATHS).select("path", paths.search_test(F.col("path")).alias("is_test"))
 
 
-@case("P9_other_test_paths")
+_BASE = "regexp_extract(path, '([^/]*)$', 1)"
+_SEARCH = f"(starts_with(path, 'test/') OR starts_with(path, 'spec/') OR {' OR '.join(f'contains(path, {p!r})' for p in paths.SEARCH_PARTS)})"
+_DEAD = " OR ".join([f"contains(path, {p!r})" for p in paths.DEAD_DIR_PARTS + paths.FIXTURE_PARTS] + [f"starts_with(path, {p!r})" for p in paths.DEAD_DIR_STARTS + paths.FIXTURE_STARTS] + [f"ends_with(path, {p!r})" for p in paths.TEST_ENDS])
+_BLAST = rf"regexp_matches(path, '(^|/)(tests?|specs?|__tests__)/') OR regexp_matches({_BASE}, '(_test|_spec|[.]test|[.]spec)[.][A-Za-z]+$') OR regexp_matches({_BASE}, '^test_.*[.]py$')"
+_RESOLVER = rf"regexp_matches(path, '(^|/)(test|tests|spec|__tests__)/') OR regexp_matches({_BASE}, '(_test[.]go|_spec[.]rb|_test[.]rb|_test[.]py|[.](test|spec)[.][jt]sx?)$') OR starts_with({_BASE}, 'test_')"
+
+
+@case("P9_other_test_paths", f"SELECT path, ({_DEAD}) AS dead, ({_BLAST}) AS blast, ({_RESOLVER}) AS resolver, ({_SEARCH} OR ends_with(path, 'Test.java') OR ends_with(path, 'Tests.java') OR ends_with(path, 'Test.kt')) AS wire FROM {_sql_values('path', PATHS)}")
 def _(spark, sf):
     p = F.col("path")
     return _values(spark, "path", PATHS).select("path", paths.dead_test(p).alias("dead"), paths.blast_test(p).alias("blast"), paths.resolver_test(p).alias("resolver"), paths.wire_test(p).alias("wire"))
@@ -112,7 +119,13 @@ def _(spark, sf):
     return _values(spark, "name", NAMES).select("name", text.role_prefix(F.col("name")).alias("prefix"))
 
 
-@case("P18_capped")
+_CONTINUED = "h[2 * {0} - 1] IN ('8', '9', 'A', 'B')"
+
+
+@case(
+    "P18_capped",
+    f"SELECT doc_id, CASE WHEN n <= 2048 THEN n ELSE 3 + CASE WHEN NOT {_CONTINUED.format(2049)} THEN 2048 WHEN NOT {_CONTINUED.format(2048)} THEN 2047 WHEN NOT {_CONTINUED.format(2047)} THEN 2046 ELSE 2045 END END::INT AS bytes FROM (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS h FROM documents)",
+)
 def _(spark, sf):
     return pj.table(spark, sf, "documents").select("doc_id", F.octet_length(text.byte_capped(F.col("text"), F.lit(2048))).alias("bytes"))
 
@@ -236,12 +249,30 @@ def _(spark, sf):
     return rows.withColumn("weight", search.kind_weight(F.col("kind"), F.col("name")))
 
 
-@case("T19_search")
+_SEARCH_SQL = f"""WITH {pj.SQL}, k AS (SELECT symbol_id AS id, row_number() OVER (ORDER BY symbol_id) - 1 AS r FROM symbols WHERE name = 'order13' QUALIFY r < 50),
+ w AS (SELECT id, 1.0 / (61 + r) * CASE WHEN contains(path, '_test.go') THEN 0.3 ELSE 1.0 END AS score, path, parent_id FROM k JOIN symbols ON symbol_id = id JOIN files USING (file_id)),
+ z AS (SELECT *, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS n FROM w), d AS (SELECT target_id, count(*) AS uses FROM edges GROUP BY 1),
+ b AS (SELECT id, parent_id, round(n * (1 + 0.05 * log2(1 + coalesce(uses, 0))) * CASE WHEN contains(path, '_test.') AND n > 0 THEN 0.2 ELSE 1.0 END, 6) AS score, 'keyword' AS source, coalesce(uses, 0) AS refs FROM z LEFT JOIN d ON target_id = id),
+ c AS (SELECT DISTINCT target_id FROM edges WHERE kind = 'calls' AND source_id IN (SELECT id FROM b ORDER BY score DESC, id LIMIT 3)),
+ e AS (SELECT id, parent_id, score + CASE WHEN id IN (SELECT target_id FROM c) THEN 0.15 ELSE 0 END AS score, source, refs FROM b UNION ALL SELECT symbol_id, parent_id, 0.05, 'graph', 0 FROM c JOIN symbols ON symbol_id = target_id WHERE target_id NOT IN (SELECT id FROM b)),
+ t AS (SELECT * FROM e ORDER BY score DESC, id LIMIT 10), u AS (SELECT parent_id, max(score) AS score, max(source) AS source FROM t WHERE parent_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+ f AS (SELECT id, score, source, refs FROM e WHERE parent_id IS NULL OR parent_id NOT IN (SELECT parent_id FROM u) UNION ALL SELECT parent_id, score, source, 0 FROM u WHERE parent_id NOT IN (SELECT id FROM t))
+ SELECT id, qualified, kind, round(score, 6) AS score, source, refs AS "references" FROM f JOIN symbols ON symbol_id = id ORDER BY f.score DESC, id LIMIT 10"""
+
+
+@case("T19_search", _SEARCH_SQL)
 def _(spark, sf):
-    return search.search(pj.graph(spark, sf), "Customer 000000017 order").select("id", "qualified", "kind", "score", "source", "references")
+    return search.search(store.pinned(pj.graph(spark, sf)), "order13").select("id", "qualified", "kind", F.round("score", 6).alias("score"), "source", "references")
+
+
+_CONTEXT_SQL = f"""WITH {pj.SQL}, near AS (SELECT DISTINCT source_id AS symbol_id, CASE e.kind WHEN 'inherits' THEN 0 WHEN 'composes' THEN 1 ELSE 4 END AS o, name FROM edges e JOIN symbols t ON t.symbol_id = target_id WHERE e.kind IN ('inherits','composes','calls')),
+ fit AS (SELECT *, sum(strlen(name) + 2) OVER (PARTITION BY symbol_id, o ORDER BY name) AS used FROM near), l AS (SELECT symbol_id, o, CASE o WHEN 0 THEN 'inherits: ' WHEN 1 THEN 'composes: ' ELSE 'calls: ' END || string_agg(name, ', ' ORDER BY name) AS line FROM fit WHERE used <= 800 GROUP BY symbol_id, o),
+ h AS (SELECT s.symbol_id, 'File: ' || path || chr(10) || kind || ' ' || qualified AS t, max(line) FILTER (o = 0) AS a, max(line) FILTER (o = 1) AS b, max(line) FILTER (o = 4) AS c FROM symbols s JOIN files USING (file_id) LEFT JOIN l USING (symbol_id) GROUP BY s.symbol_id, path, kind, qualified),
+ h0 AS (SELECT symbol_id, b, c, CASE WHEN a IS NOT NULL AND strlen(t) + strlen(a) + 1 <= 800 THEN t || chr(10) || a ELSE t END AS t FROM h), h1 AS (SELECT symbol_id, c, CASE WHEN b IS NOT NULL AND strlen(t) + strlen(b) + 1 <= 800 THEN t || chr(10) || b ELSE t END AS t FROM h0)
+ SELECT symbol_id, CASE WHEN c IS NOT NULL AND strlen(t) + strlen(c) + 1 <= 800 THEN t || chr(10) || c ELSE t END AS text FROM h1"""
 
 
-@case("T20_context")
+@case("T20_context", _CONTEXT_SQL)
 def _(spark, sf):
     return search.context(pj.graph(spark, sf))
 
@@ -290,11 +321,6 @@ def _(spark, sf):
     return extractors.edges(found).where("kind <> 'imports'").select("source", "target", "kind")
 
 
-@case("E1_languages")
-def _(spark, sf):
-    return extractors.symbols(extractors.extract(spark.createDataFrame(extractors.EXAMPLES, "file_id long, path string, content string")))
-
-
 @case("I2_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, k")
 def _(spark, sf):
     return incremental.sessions(pj.table(spark, sf, "events"), "ts", "user_id", "30 minutes")
