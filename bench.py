@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Times the index build and the headline queries over the stored graph at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
 
 from __future__ import annotations
 
@@ -24,8 +24,9 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    registry.QUERIES["A1_totals"](spark, SF).collect()  # starts the JVM's compilers
-    took = {}
+    began = time.time()
+    registry.QUERIES["A1_totals"](spark, SF).collect()  # starts the JVM's compilers, and stores the graph of the tables
+    took = {"index": round(time.time() - began, 3)}
     for name in HEADLINE:
         began = time.time()
         registry.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()

@@ -134,6 +134,8 @@ def member_callees(g: Graph, roots: DataFrame) -> DataFrame:
 def co_changes(g: Graph, roots: DataFrame) -> DataFrame:
     """O-G9: temporal neighbours in both directions, each once, with count and strength."""
     t = g.edges.where("kind = 'temporal'")
+    if "co_changes" not in t.columns:
+        t = t.withColumn("co_changes", F.lit(None).cast("int"))
     r = roots.select(F.col("symbol_id").alias("root_id"))
     both = t.select(F.col("source_id").alias("root_id"), F.col("target_id").alias("other_id"), "co_changes", "confidence").unionByName(t.select(F.col("target_id").alias("root_id"), F.col("source_id").alias("other_id"), "co_changes", "confidence"))
     return both.join(r, "root_id", "left_semi").groupBy("root_id", "other_id").agg(F.max("co_changes").alias("co_changes"), F.max("confidence").alias("strength"))

@@ -10,20 +10,17 @@ from graphloom.operators import conventions as cv
 from graphloom.operators import dead as dd
 from graphloom.operators import derive as dv
 from graphloom.operators import graph as gr
-from graphloom.operators import store
 from graphloom.plans.cases_core import AREA, TEST_LIKE
 from graphloom.sources import projection as pj
 
 QUERIES, ORACLE_SQL = {}, {}
-#: Queries that read the graph many times over.
-ITERATED = {"G13_blast_reach", "G20_blast_risk", "W5_blast_capped", "G5_bfs", "D5_unreferenced", "D7_verdicts", "D15_grouped"}
 
 
-def case(name: str, sql: str | None = None, extra: str = ""):
+def case(name: str, sql: str | None = None, extra: str = "", variant: bool = False):
     def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(store.pinned(pj.graph(spark, sf_dir)) if name in ITERATED else pj.graph(spark, sf_dir), spark, sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: f((pj.variant if variant else pj.graph)(spark, sf_dir), spark, sf_dir)
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH RECURSIVE {pj.SQL}{extra} {sql}"
+            ORACLE_SQL[name] = f"WITH RECURSIVE {pj.VARIANT_SQL if variant else pj.SQL}{extra} {sql}"
         return f
 
     return put
@@ -112,7 +109,7 @@ _FOLD = f""", m AS (SELECT s.symbol_id AS member, s.parent_id AS root_id FROM sy
  d AS (SELECT target_id AS root_id, count(DISTINCT source_id) AS direct FROM u GROUP BY 1)"""
 
 
-@case("G6_member_callers", "SELECT k.* FROM k WHERE root_id NOT IN (SELECT root_id FROM (SELECT root_id, count(*) AS n FROM k GROUP BY 1) JOIN d USING (root_id) WHERE direct >= 3 AND n < 5 * direct)", _FOLD)
+@case("G6_member_callers", "SELECT k.* FROM k WHERE root_id NOT IN (SELECT root_id FROM (SELECT root_id, count(*) AS n FROM k GROUP BY 1) JOIN d USING (root_id) WHERE direct >= 3 AND n < 5 * direct)", _FOLD, variant=True)
 def _(g, spark, sf):
     return gr.member_callers(g, g.symbols.where(F.col("kind").isin(*CONTAINERS)))
 

@@ -24,13 +24,13 @@ LEAF = r"regexp_extract({0}, '(?s)^(?:.*(?:::|[#.\\]))?(.*?)$', 1)"
 CONTAINED = "('class','module','interface','type')"
 
 
-def case(name: str, sql: str | None = None, extra: str = "", pinned: bool = False, variant: bool = False):
+def case(name: str, sql: str | None = None, extra: str = "", variant: bool = False):
     """As in cases_graph; variant asks for the graph with scopes, suffixes and interface methods."""
 
     def put(f):
         def run(spark, sf_dir):
             g = (pj.variant if variant else pj.graph)(spark, sf_dir)
-            return f(store.pinned(g) if pinned else g, spark, sf_dir)
+            return f(g, spark, sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
@@ -132,7 +132,7 @@ def _(g, spark, sf):
     return gr.collapse_seen(g.symbols, g.edges.where("kind = 'composes'").select(F.col("target_id").alias("symbol_id"))).select("symbol_id")
 
 
-@case("G35_seen", "SELECT symbol_id, hop FROM v1 WHERE hop > 0 AND symbol_id % 2 = 1", _hops(1), pinned=True)
+@case("G35_seen", "SELECT symbol_id, hop FROM v1 WHERE hop > 0 AND symbol_id % 2 = 1", _hops(1))
 def _(g, spark, sf):
     reached = bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(1)).where("hop > 0")
     return gr.collapse_seen(reached, g.symbols.where("symbol_id % 2 = 0")).select("symbol_id", "hop")
@@ -230,17 +230,17 @@ _WIDE = _hops(3, "x.symbol_id = 2000000007", 0.3)
 _SEED = "symbol_id = 2000000007"
 
 
-@case("G15_decay", "SELECT symbol_id, hop, kind, round(c, 6) AS confidence FROM v3 WHERE hop > 0", _WIDE, pinned=True)
+@case("G15_decay", "SELECT symbol_id, hop, kind, round(c, 6) AS confidence FROM v3 WHERE hop > 0", _WIDE)
 def _(g, spark, sf):
     return bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3)).where("hop > 0").select("symbol_id", "hop", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@case("G16_choice", "SELECT symbol_id, via, kind FROM v2 WHERE hop > 0", _WIDE, pinned=True)
+@case("G16_choice", "SELECT symbol_id, via, kind FROM v2 WHERE hop > 0", _WIDE)
 def _(g, spark, sf):
     return bl.reach(g, g.symbols.where(_SEED), bl.Options(2, 0.3)).where("hop > 0").select("symbol_id", "via", "kind")
 
 
-@case("G17_first_hop", "SELECT hop, count(*) AS symbols, count(DISTINCT symbol_id) AS once FROM v3 GROUP BY 1", _WIDE, pinned=True)
+@case("G17_first_hop", "SELECT hop, count(*) AS symbols, count(DISTINCT symbol_id) AS once FROM v3 GROUP BY 1", _WIDE)
 def _(g, spark, sf):
     return bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3)).groupBy("hop").agg(F.count("*").alias("symbols"), F.countDistinct("symbol_id").alias("once"))
 
@@ -248,28 +248,28 @@ def _(g, spark, sf):
 _TIER = "CASE WHEN v.kind IN ('calls','temporal','references') THEN 1 WHEN v.kind = 'tests' THEN 3 ELSE 2 END"
 
 
-@case("G18_partition", "SELECT symbol_id, hop <= 1 AS direct FROM v3 WHERE hop > 0", _WIDE, pinned=True)
+@case("G18_partition", "SELECT symbol_id, hop <= 1 AS direct FROM v3 WHERE hop > 0", _WIDE)
 def _(g, spark, sf):
     return bl.affected(g, bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3))).select("symbol_id", "direct")
 
 
-@case("G21_tiers", f"SELECT {_TIER} AS tier, count(*) AS symbols FROM v3 v WHERE hop > 0 GROUP BY 1", _WIDE, pinned=True)
+@case("G21_tiers", f"SELECT {_TIER} AS tier, count(*) AS symbols FROM v3 v WHERE hop > 0 GROUP BY 1", _WIDE)
 def _(g, spark, sf):
     return bl.affected(g, bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3))).groupBy("tier").agg(F.count("*").alias("symbols"))
 
 
-@case("G26_reconciled", "SELECT g AS \"group\", count(*) AS symbols FROM (SELECT symbol_id, 'subclasses' AS g FROM v3 WHERE hop > 0 AND kind = 'inherits' UNION ALL SELECT DISTINCT source_id, 'via_composition' FROM edges WHERE kind = 'composes' AND target_id = 2000000007) GROUP BY 1", _WIDE, pinned=True)
+@case("G26_reconciled", "SELECT g AS \"group\", count(*) AS symbols FROM (SELECT symbol_id, 'subclasses' AS g FROM v3 WHERE hop > 0 AND kind = 'inherits' UNION ALL SELECT DISTINCT source_id, 'via_composition' FROM edges WHERE kind = 'composes' AND target_id = 2000000007) GROUP BY 1", _WIDE)
 def _(g, spark, sf):
     rows = bl.affected(g, bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3)))
     return bl.groups(rows, g).groupBy("group").agg(F.count("*").alias("symbols"))
 
 
-@case("G34_segments", "SELECT contains(path, '_test.') AS is_test, count(*) AS symbols FROM v3 JOIN symbols USING (symbol_id) JOIN files USING (file_id) WHERE hop > 0 GROUP BY 1", _WIDE, pinned=True)
+@case("G34_segments", "SELECT contains(path, '_test.') AS is_test, count(*) AS symbols FROM v3 JOIN symbols USING (symbol_id) JOIN files USING (file_id) WHERE hop > 0 GROUP BY 1", _WIDE)
 def _(g, spark, sf):
     return bl.affected(g, bl.reach(g, g.symbols.where(_SEED), bl.Options(3, 0.3))).groupBy("is_test").agg(F.count("*").alias("symbols"))
 
 
-@case("W4_frontier", "SELECT symbol_id, hop FROM v3", _hops(3, frontier=50), pinned=True)
+@case("W4_frontier", "SELECT symbol_id, hop FROM v3", _hops(3, frontier=50))
 def _(g, spark, sf):
     return bl.reach(g, g.symbols.where("symbol_id = 3000000007"), bl.Options(3, 0.5, 100, 50)).select("symbol_id", "hop")
 
@@ -279,7 +279,7 @@ _LAUNDER = """, c0 AS (SELECT 1000000003::BIGINT AS symbol_id UNION SELECT sourc
  hold AS (SELECT source_id AS symbol_id, min(target_id) AS via FROM edges JOIN via ON target_id = via.via WHERE kind = 'references' GROUP BY 1)"""
 
 
-@case("G32_retained_order", "SELECT symbol_id, via, row_number() OVER (ORDER BY contains(path, '_test.'), symbol_id)::INT AS rank FROM hold JOIN symbols USING (symbol_id) JOIN files USING (file_id) WHERE symbol_id NOT IN (SELECT symbol_id FROM c0)", _LAUNDER, pinned=True)
+@case("G32_retained_order", "SELECT symbol_id, via, row_number() OVER (ORDER BY contains(path, '_test.'), symbol_id)::INT AS rank FROM hold JOIN symbols USING (symbol_id) JOIN files USING (file_id) WHERE symbol_id NOT IN (SELECT symbol_id FROM c0)", _LAUNDER)
 def _(g, spark, sf):
     held = g.edges.withColumn("kind", F.when(F.col("kind") == "references", "composes").when(F.col("kind") == "composes", "includes").otherwise(F.col("kind")))
     found = bl.carriers(g, g.symbols.where("symbol_id = 1000000003"))
@@ -514,8 +514,8 @@ _DETECT = f""", place AS (SELECT s.*, path, language, contains(path, '_test.') A
 @case(
     "C24_detect",
     f"SELECT category, description, instances, total, round(instances / total, 6) AS strength FROM every WHERE instances >= 5 OR instances / total >= 0.1 UNION ALL SELECT 'key-types', 'types that most depends on', count(*), (SELECT count(*) FROM symbols WHERE kind IN {CONTAINED}), 1.0 FROM best HAVING count(*) > 0",
-    _STRUCTURE + _DETECT, pinned=True,
-)
+    _STRUCTURE + _DETECT,
+)
 def _(g, spark, sf):
     return cv.detect(g).select("category", "description", "instances", "total", "strength")
 
@@ -531,7 +531,7 @@ def _harvested(g, spark, rows, languages):
     return spark.createDataFrame([*rows, *((x, "mentions", "zzz") for x in languages)], "language string, set string, name string")
 
 
-@case("D8_core_voice", "SELECT symbol_id, reason FROM judged WHERE reason IS NOT NULL", _CORE, pinned=True)
+@case("D8_core_voice", "SELECT symbol_id, reason FROM judged WHERE reason IS NOT NULL", _CORE)
 def _(g, spark, sf):
     none = spark.createDataFrame([], "name string")
     return dd.verdicts(dd.facts(g, dd.unreferenced(g), _harvested(g, spark, [], ("ruby", "python", "typescript", "java")), none)).where("reason is not null").select("symbol_id", "reason")
@@ -574,15 +574,15 @@ def _(g, spark, sf):
 @case(
     "D13_python_voice",
     "SELECT symbol_id, CASE WHEN name = 'order1' THEN 'py_route' WHEN name = 'order2' THEN 'py_django' WHEN name = 'order3' THEN 'py_decorator' WHEN name = 'order4' THEN 'py_all_export' WHEN kind = 'class' THEN 'py_class' WHEN visibility = 'public' OR kind NOT IN ('function','method','class') THEN 'py_public' END AS reason FROM rolled WHERE language = 'python' AND (visibility = 'public' OR name IN ('order1','order2','order3','order4'))",
-    _CAND, pinned=True,
-)
+    _CAND,
+)
 def _(g, spark, sf):
     sets = [("python", "routes", "order1"), ("python", "django", "order2"), ("python", "decorated", "order3"), ("python", "all_exports", "order4")]
     known = dd.facts(g, dd.unreferenced(g, language="python"), _harvested(g, spark, sets, ("python",)), spark.createDataFrame([("Gin",)], "name string"))
     return dd.verdicts(known).where("reason is not null").select("symbol_id", "reason")
 
 
-@case("D6_facts", "SELECT language, name IN ('order1') AS mentioned, count(*) AS symbols FROM rolled GROUP BY ALL", _CAND, pinned=True)
+@case("D6_facts", "SELECT language, name IN ('order1') AS mentioned, count(*) AS symbols FROM rolled GROUP BY ALL", _CAND)
 def _(g, spark, sf):
     langs = g.files.select("language").distinct().select("language", F.lit("mentions").alias("set"), F.lit("order1").alias("name"))
     known = dd.facts(g, dd.unreferenced(g), langs, spark.createDataFrame([("Gin",)], "name string"))
@@ -597,14 +597,14 @@ def _(g, spark, sf):
 @case("D16_precision", f"SELECT (SELECT count(*) FROM a JOIN b USING (path, name)) AS agreed, (SELECT count(*) FROM a ANTI JOIN b USING (path, name)) AS false_dead, (SELECT count(*) FROM b ANTI JOIN a USING (path, name)) AS missed", _SPOKEN + f", a AS (SELECT DISTINCT path, {LEAF.format('qualified')} AS name FROM rolled JOIN judged USING (symbol_id) WHERE reason IS NULL), b AS (SELECT DISTINCT path, name FROM rolled WHERE kind = 'method')")
 def _(g, spark, sf):
     found = _voices(g, spark)
-    theirs = dd.unreferenced(store.pinned(g)).where("kind = 'method'").select("path", "name")
+    theirs = dd.unreferenced(g).where("kind = 'method'").select("path", "name")
     return dd.precision(found, theirs)
 
 
 @case("Q13_dead_oracle", "SELECT (SELECT count(*) FROM a JOIN b USING (path, name)) AS agreed, (SELECT count(*) FROM a ANTI JOIN b USING (path, name)) AS false_dead, (SELECT count(*) FROM b ANTI JOIN a USING (path, name)) AS missed", _SPOKEN + f", a AS (SELECT DISTINCT path, {LEAF.format('qualified')} AS name FROM rolled JOIN judged USING (symbol_id) WHERE reason IS NULL), b AS (SELECT DISTINCT path, name FROM rolled JOIN judged USING (symbol_id) WHERE visibility = 'private')")
 def _(g, spark, sf):
     found = _voices(g, spark)
-    theirs = dd.unreferenced(store.pinned(g)).where("visibility = 'private'").select("path", "name")
+    theirs = dd.unreferenced(g).where("visibility = 'private'").select("path", "name")
     return dd.precision(found, theirs)
 
 
@@ -695,3 +695,43 @@ def _(g, spark, sf):
 def _(g, spark, sf):
     vectors = pj.table(spark, sf, "embeddings")
     return vector.nearest(vectors, "vec_id", "embedding", list(vectors.where("vec_id = 7").first().embedding), 37)
+
+
+# --- The tool surface --------------------------------------------------------------------------------------------------------------
+
+
+@case("Q1_verbs", "SELECT root_id, bucket, shown FROM (SELECT 2000000003::BIGINT AS root_id, CASE kind WHEN 'inherits' THEN 'inherited_by' ELSE 'called_by' END AS bucket, count(*) FILTER (kind = 'inherits' OR confidence >= 0.5) AS shown FROM edges WHERE target_id = 2000000003 GROUP BY 1, 2)")
+def _(g, spark, sf):
+    return Tools(g).call("graph", name="Supplier#000000003").parts["categories"].select("root_id", "bucket", "shown")
+
+
+@case(
+    "Q2_parameters",
+    "SELECT symbol_id FROM v1 JOIN symbols USING (symbol_id) JOIN files USING (file_id) LEFT JOIN (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) d ON d.target_id = symbol_id WHERE hop = 1 QUALIFY row_number() OVER (ORDER BY contains(path, '_test.'), c DESC, coalesce(n, 0) DESC, symbol_id) <= 200",
+    _hops(1, "x.symbol_id = 2000000003", 0.75),
+)
+def _(g, spark, sf):
+    return Tools(g).call("blast", target="Supplier#000000003", hops=1, confidence=0.75).parts["callers"].select("symbol_id")
+
+
+@case("Q9_engine_assembly", "SELECT count(*) AS hybrid FROM symbols WHERE FALSE")
+def _(g, spark, sf):
+    """Without vectors or a model search is keyword-only."""
+    return Tools(g).search("order13").parts["results"].where("source in ('vector', 'hybrid')").agg(F.count("*").alias("hybrid"))
+
+
+@case("Q10_configuration", "SELECT * FROM (VALUES ('embeddings', 'False'), ('max_file_kb', '64'), ('ignore', 'vendor/,dist/')) t(name, value)")
+def _(g, spark, sf):
+    p = present.Preset.of({"ignore": "vendor/,dist/"}, {"GRAPHLOOM_EMBEDDINGS": "0", "GRAPHLOOM_MAX_FILE_KB": "64"})
+    return spark.createDataFrame([("embeddings", str(p.embeddings)), ("max_file_kb", str(p.max_file_kb)), ("ignore", ",".join(p.ignore))], "name string, value string")
+
+
+@case("S26_conformance", "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, TRUE AS same_ids, 0::BIGINT AS missing")
+def _(g, spark, sf):
+    """Writing the whole graph again leaves every row and id as it was."""
+    e = g.edges.withColumn("edge_id", F.xxhash64("source_id", "target_id", "kind", "file_id"))
+    again = store.upsert_symbols(g, g.symbols.withColumn("symbol_id", F.col("symbol_id") + 10**12)).symbols
+    links = store.upsert_edges(type(g)(g.files, g.symbols, e), e.withColumn("edge_id", F.col("edge_id") + 1)).edges
+    counts = again.agg(F.count("*").alias("symbols"), (F.max("symbol_id") < 10**12).alias("same_ids"))
+    lost = e.select("edge_id").join(links.select("edge_id"), "edge_id", "left_anti").agg(F.count("*").alias("missing"))
+    return counts.crossJoin(links.agg(F.count("*").alias("edges"))).crossJoin(lost).select("symbols", "edges", "same_ids", "missing")  # a row each

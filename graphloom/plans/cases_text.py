@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text
 from graphloom.operators import fulltext as ft
-from graphloom.operators import present, scoring, search, store, vector
+from graphloom.operators import present, scoring, search, vector
 from graphloom.sources import extractors, manifests
 from graphloom.sources import projection as pj
 from graphloom.streaming import incremental
@@ -262,7 +262,7 @@ _SEARCH_SQL = f"""WITH {pj.SQL}, k AS (SELECT symbol_id AS id, row_number() OVER
 
 @case("T19_search", _SEARCH_SQL)
 def _(spark, sf):
-    return search.search(store.pinned(pj.graph(spark, sf)), "order13").select("id", "qualified", "kind", F.round("score", 6).alias("score"), "source", "references")
+    return search.search(pj.graph(spark, sf), "order13").select("id", "qualified", "kind", F.round("score", 6).alias("score"), "source", "references")
 
 
 _CONTEXT_SQL = f"""WITH {pj.SQL}, near AS (SELECT DISTINCT source_id AS symbol_id, CASE e.kind WHEN 'inherits' THEN 0 WHEN 'composes' THEN 1 ELSE 4 END AS o, name FROM edges e JOIN symbols t ON t.symbol_id = target_id WHERE e.kind IN ('inherits','composes','calls')),

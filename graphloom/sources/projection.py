@@ -1,15 +1,19 @@
 """The driver's star schema as a property graph, in Spark and in the SQL that results are held against.
 
 Nations are files, customers classes, suppliers interfaces, parts functions and orders methods of their customers; lines and keys give the
-edges. Every id is arithmetic on keys, so both sides agree without any ordering.
+edges. Every id is arithmetic on keys, so both sides agree without any ordering. The graph is stored once per application and folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphloom.functions.shared import settle
 from graphloom.model import Graph
 
 LANGUAGES = ("go", "ruby", "python", "typescript", "java")
@@ -80,8 +84,21 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Stored graphs of this process by application, folder and name: an index is built once and asked many times.
+_STORED: dict[tuple[str, str, str], Graph] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Graph]) -> Graph:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        g = build()
+        _STORED[key] = replace(g, files=settle(g.files, "files"), symbols=settle(g.symbols, "symbols"), edges=settle(g.edges, "edges"))
+    return _STORED[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(files(spark, sf_dir), symbols(spark, sf_dir), edges(spark, sf_dir))
+    """The stored graph of a folder's tables."""
+    return stored(spark, sf_dir, "graph", lambda: Graph(files(spark, sf_dir), symbols(spark, sf_dir), edges(spark, sf_dir)))
 
 
 def variant(spark: SparkSession, sf_dir: str) -> Graph:
@@ -90,6 +107,10 @@ def variant(spark: SparkSession, sf_dir: str) -> Graph:
     Classes are named after their market segment and qualified by their directory; methods of even keys belong to one of ten interfaces; every
     fifth file is a main.go.
     """
+    return stored(spark, sf_dir, "variant", lambda: _variant(spark, sf_dir))
+
+
+def _variant(spark: SparkSession, sf_dir: str) -> Graph:
     g = graph(spark, sf_dir)
     files = g.files.withColumn("path", F.when(F.col("file_id") % 5 == 0, F.replace("path", F.lit("node.go"), F.lit("main.go"))).otherwise(F.col("path")))
     scope = F.replace(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"), F.lit("::"))
