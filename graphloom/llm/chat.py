@@ -13,21 +13,21 @@ conversation of its own, and so are all rows with it; null turns come first. Ext
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from graphloom.llm.common import strings
 
-VOCABULARY, CHUNK = "byte_bpe_50k.json", 1 << 18
-#: Reserved ids above the vocabulary's 50,257, with the strings they render to.
+VOCABULARY, CHUNK = "byte_bpe_50k.tiktoken", 1 << 18
+#: Reserved ids above the vocabulary's 50,256, with the strings they render to.
 RESERVED = 50_304
 BEGIN, TURN, BODY, CLOSE, END = range(RESERVED, RESERVED + 5)
 MARKS = {BEGIN: "<s>", TURN: "[INST]", BODY: "[BODY]", CLOSE: "[/INST]", END: "</s>"}
@@ -45,14 +45,17 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[str, tiktoken.Encoding] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def tokenizer(path: str) -> tiktoken.Encoding:
+    """The byte-level encoding whose ranks the file holds; it has no special tokens, so every string is ordinary text."""
     if path not in _loaded:
-        _loaded[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        import public_tokenizers
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _loaded[path] = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
 
 
@@ -61,7 +64,8 @@ def _encode(path: str):
         t = tokenizer(path)
         for b in batches:
             roles, texts = strings(b.column(2)), strings(b.column(3))
-            ids = [[e.ids for e in t.encode_batch([escape(x) for x in column], add_special_tokens=False)] for column in (roles, texts)]
+            known = {r: t.encode_ordinary(escape(r)) for r in set(roles)}
+            ids = [[known[r] for r in roles], [t.encode_ordinary(escape(x)) for x in texts]]
             lists = [pa.array(x, pa.list_(pa.int32())) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles), pa.array([hashlib.sha256(x.encode()).digest() for x in texts], pa.binary()), *lists], ["conv_id", "turn", "role", "tie", "role_ids", "text_ids"])
 
@@ -155,7 +159,7 @@ def _read(path: str):
                         close()
                     state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
                 marks = np.flatnonzero(ids >= RESERVED).tolist()
-                segments = t.decode_batch([ids[a + 1 : z].tolist() for a, z in zip(marks, marks[1:], strict=False)], skip_special_tokens=False)
+                segments = [t.decode_bytes(ids[a + 1 : z].tolist()).decode() for a, z in zip(marks, marks[1:], strict=False)]
                 for k, a in enumerate(marks):
                     state["chars"] += len(MARKS[ids[a]]) + (len(segments[k]) if k < len(segments) else 0)
                     if ids[a] == TURN:
@@ -167,7 +171,7 @@ def _read(path: str):
                         own, under = ids[a + 1 : marks[k + 1]], mask[a + 1 : marks[k + 1]] == 1
                         if under.any():
                             if not under.all():
-                                text = unescape(t.decode(own[under].tolist(), skip_special_tokens=False))
+                                text = unescape(t.decode_bytes(own[under].tolist()).decode(errors="replace"))
                             state["loss"].update(text.encode())
                             state["loss_chars"] += len(text)
             if len(rows) >= 10_000:
