@@ -3,7 +3,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom.model import Graph
@@ -134,6 +133,15 @@ def test_a_feed_goes_on_where_it_stopped(spark, tmp_path):
     assert seen[1:] == [(["y.go"], [])]
 
 
+def test_shared_tables_can_be_cleaned(spark, tmp_path):
+    from graphloom.functions import shared
+
+    df = shared.settle(spark.range(3).toDF("a"), "t")
+    path = df.inputFiles()[0]
+    assert spark.sparkContext.applicationId in path and df.count() == 3
+    assert shared.stacked([df, df]).count() == 6
+
+
 def test_bulk_commits_are_dealt_and_lose_no_pair(spark):
     rows = [(c, f"d{i % 3}/f{i}.rb") for c in range(3) for i in range(40)]
     df = spark.createDataFrame(rows, "commit_id long, path string")
@@ -148,20 +156,20 @@ VOICED = [
     ("rust", "method", "fmt", "private", set(), "rust_derive"), ("rust", "function", "open", "public", set(), "rust_pub"), ("rust", "function", "gone", "private", set(), None), ("rust", "function", "kept", "private", {"allow_dead"}, "rust_allow_dead"),
     ("typescript", "class", "View", "public", set(), "ts_exported"), ("typescript", "function", "f", "public", {"default_exports"}, "ts_default_export"), ("typescript", "method", "m", "private", set(), "ts_method"), ("typescript", "type", "T", "private", set(), "ts_type"), ("typescript", "function", "g", "private", set(), None),
     ("javascript", "function", "g", "private", set(), "js_dynamic"), ("python", "method", "__len__", "public", set(), "py_dunder"), ("python", "function", "page", "public", {"routes"}, "py_route"), ("python", "function", "_h", "private", set(), None), ("python", "constant", "LIMIT", "public", set(), "py_constant"),
-    ("java", "method", "run", "public", {"annotated"}, "ls_annotated"), ("java", "method", "run", "private", set(), None), ("php", "method", "magic", "private", set(), "ls_dynamic"), ("kotlin", "method", "m", "private", set(), "ls_unvalidated"), ("csharp", "method", "M", "public", set(), "ls_public_no_framework"),
+    ("java", "method", "run", "public", {"annotated"}, "ls_annotated"), ("java", "method", "walk", "private", set(), None), ("php", "method", "magic", "private", set(), "ls_dynamic"), ("kotlin", "method", "m", "private", set(), "ls_unvalidated"), ("csharp", "method", "M", "public", set(), "ls_public_no_framework"),
     ("go", "function", "init", "private", set(), "go_init"), ("go", "function", "Open", "public", set(), "go_exported"), ("go", "method", "m", "private", {"interface_methods"}, "go_interface"), ("ruby", "method", "call", "public", set(), "ruby_service_call"), ("cobol", "function", "f", "private", set(), "core_no_language_voice"),
 ]
 
 
 def test_voices(spark):
-    """What each language's voice says about one symbol with these names harvested."""
+    """What each language's voice says about symbols of which these names were harvested."""
+    assert len({(v[0], v[2]) for v in VOICED}) == len(VOICED)
     g = Graph(
         spark.createDataFrame([(i, f"src/f{i}.x", v[0]) for i, v in enumerate(VOICED)], "file_id long, path string, language string"),
         spark.createDataFrame([(i, i, v[2], f"Q{i}.{v[2]}", v[1], v[3], None, 1, 2) for i, v in enumerate(VOICED)], "symbol_id long, file_id long, name string, qualified string, kind string, visibility string, parent_id long, line_start int, line_end int"),
         spark.createDataFrame([], "source_id long, target_id long, kind string, file_id long, confidence double"),
     )
-    for i, (language, _, name, _, sets, want) in enumerate(VOICED):
-        names = spark.createDataFrame([*((language, s, name) for s in sets), (language, "mentions", "other"), (language, "harvest", "")], "language string, set string, name string")
-        found = g.symbols.where(F.col("symbol_id") == i).join(g.files, "file_id")
-        got = dead.verdicts(dead.facts(g, found, names, spark.createDataFrame([("Gin",)], "name string"))).first()
-        assert (got.reason, got.verdict) == (want, "dead" if want is None else "possibly_dead"), VOICED[i]
+    harvest = [(v[0], s, v[2]) for v in VOICED for s in v[4]] + [(x, *r) for x in {v[0] for v in VOICED} for r in (("mentions", "other"), ("harvest", ""))]
+    names, frameworks = spark.createDataFrame(harvest, "language string, set string, name string"), spark.createDataFrame([("Gin",)], "name string")
+    got = {r.symbol_id: (r.reason, r.verdict) for r in dead.verdicts(dead.facts(g, g.symbols.join(g.files, "file_id"), names, frameworks)).collect()}
+    assert got == {i: (v[5], "dead" if v[5] is None else "possibly_dead") for i, v in enumerate(VOICED)}
