@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import settle
 from graphloom.functions.text import decompose_text
 
 K1, B = 1.2, 0.75
@@ -43,19 +45,26 @@ def _equals(term: str):
     return lambda x: x == term
 
 
+def counted(docs: DataFrame, id_column: str, columns: list[str], terms: list[str], keep: tuple[Column, ...] = ()) -> DataFrame:
+    """id, len and tf (an array by term) of every row, and what else is kept: all that scoring asks of a text, which is read once."""
+    w = docs.withColumn("w", tokens(F.concat_ws(" ", *columns)))
+    tf = F.array(*(F.size(F.filter("w", _equals(t))) for t in terms)).cast("array<int>")
+    return settle(w.select(F.col(id_column).alias("id"), F.size("w").alias("len"), tf.alias("tf"), *keep), "counts")
+
+
 @dataclass(frozen=True)
 class Statistics:
-    """Rows, their average length in tokens, and for each asked term that occurs the rows that have it."""
+    """Rows, their average length in tokens, and for each asked term the rows that have it."""
 
     rows: int
     length: float
     frequency: dict[str, int]
 
 
-def statistics(words: DataFrame, terms: list[str]) -> Statistics:
-    """Of tokens w over all rows, in one pass that ends in one row."""
-    held = [F.count_if(F.array_contains("w", t)).alias(f"t{i}") for i, t in enumerate(terms)]
-    r = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("length"), *held).first()
+def statistics(counts: DataFrame, terms: list[str]) -> Statistics:
+    """Over all rows, in one pass that ends in one row."""
+    held = [F.count_if(F.get("tf", i) > 0).alias(f"t{i}") for i in range(len(terms))]
+    r = counts.agg(F.count("*").alias("n"), F.avg("len").alias("length"), *held).first()
     return Statistics(r.n, float(r.length or 1.0), {t: r[f"t{i}"] for i, t in enumerate(terms) if r[f"t{i}"]})
 
 
@@ -66,19 +75,21 @@ def document_frequency(docs: DataFrame, id_column: str, columns: list[str], term
 
 def bm25(docs: DataFrame, id_column: str, columns: list[str], terms: list[str], limit: int, where: Column | None = None) -> DataFrame:
     """O-T1: id, score of the best rows, ties by id. Statistics cover all rows; where (the language, say) selects afterwards."""
-    words = docs.withColumn("w", tokens(F.concat_ws(" ", *columns)))
-    kept = words if where is None else words.where(where)
-    return scored(kept.select(F.col(id_column).alias("id"), "w"), terms, statistics(words, terms), limit)
-
-
-def scored(words: DataFrame, terms: list[str], known: Statistics, limit: int) -> DataFrame:
-    """O-T1 over rows whose tokens are there already: id, w."""
-    found = occurring(words, [t for t in terms if t in known.frequency])
-    df = reduce(lambda c, kv: c.when(F.col("term") == kv[0], kv[1]), known.frequency.items(), F.when(F.lit(False), 0)).otherwise(0)
-    idf = F.greatest(F.log((F.lit(known.rows) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(known.length)))
-    scored = found.groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+    counts = counted(docs, id_column, columns, terms, (F.lit(True).alias("in") if where is None else where.alias("in"),))
+    return scored(counts.where("in"), terms, terms, statistics(counts, terms), limit)
+
+
+def scored(counts: DataFrame, terms: list[str], asked: list[str], known: Statistics, limit: int) -> DataFrame:
+    """O-T1 from counts of terms, for those of them that are asked."""
+    weights = F.lit(0.0)
+    for t in asked:
+        if t in known.frequency:
+            df, tf = known.frequency[t], F.get("tf", terms.index(t))
+            idf = max(math.log((known.rows - df + 0.5) / (df + 0.5)), 1e-6)
+            weights = weights + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(known.length)))
+    held = [F.get("tf", terms.index(t)) > 0 for t in asked if t in known.frequency]
+    found = counts.where(reduce(lambda a, b: a | b, held, F.lit(False)))
+    return found.select("id", F.round(weights, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def query_terms(query: str) -> list[list[str]]:

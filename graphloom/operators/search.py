@@ -174,13 +174,13 @@ def finish(df: DataFrame, limit: int, least: float = 0.0) -> DataFrame:
     return df.where((F.col("score") >= least) & ~text.is_synthetic(F.col("qualified"), HIDDEN)).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def keyword_leg(words: DataFrame, column: str, query: str, plain: list[str], known: fulltext.Statistics, wanted: int, few: int = 5) -> DataFrame:
-    """O-U2: id, score: keyword hits, and where they are few, rows that contain the query and aren't among them. words: id, w, the column."""
-    hits = settle(fulltext.scored(words.select("id", "w"), plain, known, wanted), "hits")
+def keyword_leg(counts: DataFrame, terms_: list[str], column: str, query: str, plain: list[str], known: fulltext.Statistics, wanted: int, few: int = 5) -> DataFrame:
+    """O-U2: id, score: keyword hits, and where they are few, rows that contain the query and aren't among them. counts keep the column."""
+    hits = settle(fulltext.scored(counts, terms_, plain, known, wanted), "hits")
     n = hits.count()
     if n >= few:
         return hits
-    rest = words.join(hits.select("id"), "id", "left_anti")
+    rest = counts.join(hits.select("id"), "id", "left_anti")
     return hits.unionByName(fulltext.substring(rest, "id", column, query, wanted - n))
 
 
@@ -197,14 +197,15 @@ def search(g: Graph, query: str, options: Options = Options(), embed=None) -> Da
     docs = g.symbols.join(g.files.select("file_id", "language"), "file_id")
     columns = ["name", "qualified"]
     asked = {q: sorted({t for p in fulltext.query_terms(q) for t in p}) for q in expand(query)}
-    index = settle(docs.select(F.col("symbol_id").alias("id"), "language", "qualified", fulltext.tokens(F.concat_ws(" ", *columns)).alias("w")), "words")
-    known = fulltext.statistics(index, sorted({*terms(query), *(t for p in asked.values() for t in p)}))
+    every = sorted({*terms(query), *(t for p in asked.values() for t in p)})
+    index = fulltext.counted(docs, "symbol_id", columns, every, (F.col("language"), F.col("qualified")))
+    known = fulltext.statistics(index, every)
     total, frequency = known.rows, known.frequency
     where = F.col("language") == options.language if options.language else None
-    words = index if where is None else index.where(where)
+    counts = index if where is None else index.where(where)
     lists = []
     for k, (q, plain) in enumerate(asked.items()):
-        hits = keyword_leg(words, "qualified", q, plain, known, wanted)
+        hits = keyword_leg(counts, every, "qualified", q, plain, known, wanted)
         leg, confidence = None, 0.0
         if embed is not None and g.embeddings is not None:
             near = settle(vector.nearest(g.embeddings, "symbol_id", "vector", embed(q), wanted), "near")

@@ -317,8 +317,8 @@ def _(spark, sf):
 
 @case("U2_keyed_union", f"WITH k AS (FROM {_bm('thinly')}) SELECT id, score FROM k UNION ALL SELECT id, 1.0 FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE contains(lower(text), 'the ') AND doc_id NOT IN (SELECT id FROM k)) WHERE r <= 50 - (SELECT count(*) FROM k)")
 def _(spark, sf):
-    docs = pj.table(spark, sf, "documents").withColumn("w", ft.tokens(F.col("text")))
-    return search.keyword_leg(docs.withColumnRenamed("doc_id", "id"), "text", "The ", ["thinly"], ft.statistics(docs, ["thinly"]), 50, 50)
+    counts = ft.counted(pj.table(spark, sf, "documents"), "doc_id", ["text"], ["thinly"], (F.col("text"),))
+    return search.keyword_leg(counts, ["thinly"], "text", "The ", ["thinly"], ft.statistics(counts, ["thinly"]), 50, 50)
 
 
 # --- Incremental maintenance -------------------------------------------------------------------------------------------------------
