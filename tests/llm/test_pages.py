@@ -171,6 +171,29 @@ def test_slots_stay_and_constants_go():
     assert hosted(same, same, same, same) == ["the only page of this host, in copies"] * 4
 
 
+def test_the_wrapper_decides_before_names(spark):
+    """Constants go outside of article elements too; slots that are the article, or part of a sentence, stay under a listed name."""
+    court = "<p>The court held in case {i} that <mark class=search>term {i}</mark> applies.</p><div class=share>Share this</div><div class=ad>Buy {i}</div>"
+    held = "The court held in case {i} that term {i} applies."
+    bodies = {
+        "a": ("<div class=x7>Welcome to our site</div><h1>Head {i}</h1><h2>Summary</h2><p>Body {i}</p><div class=y>Printed on recycled paper</div>", "Head {i}\nSummary\nBody {i}"),
+        "b": (f"<div class=x7>{'words of the site ' * 3}</div><h1>Ruling {{i}}</h1><div class=legal>{court}</div>", f"Ruling {{i}}\n{held}"),
+        "c": (f"<article><h1>Ruling {{i}}</h1><div class=z id=legal>{court}</div></article><div class=u>{'more {i} ' * 50}</div>", f"Ruling {{i}}\n{held}"),
+        "d": ("<article><p>Short {i}</p><div class=ad>An advert longer than the article {i}</div><ul class=comments><li>A comment longer than the article {i}</ul></article>", "Short {i}"),
+        "f": ("<div class=body><p>The same article on every page</p><div class=k>in parts</div></div><p>by {i}</p>", "The same article on every page\nin parts\nby {i}"),
+        "g": ("<article><div class=body><p>The same article on every page</p></div><p>by {i}</p></article>", "The same article on every page\nby {i}"),
+        "e": ("<article><p>The whole of article {i}</p><div class=legal>rights {i}</div></article>", "The whole of article {i}"),
+    }
+    rows = [(k * 10 + i, f"http://{h}.example/{i}", SHELL.format(body=body.replace("{i}", str(i)))) for k, (h, (body, _)) in enumerate(bodies.items()) for i in range(5)]
+    wanted = {k * 10 + i: want.replace("{i}", str(i)) for k, (_, want) in enumerate(bodies.values()) for i in range(5)}
+    rows += [(100 + i, "http://two.example/", SHELL.format(body=(bodies["c"][0] if i % 2 else "<article><p>" + "other {i} " * 99 + "</p></article>").replace("{i}", str(i)))) for i in range(10)]
+    wanted |= {100 + i: bodies["c"][1].replace("{i}", str(i)) if i % 2 else " ".join([f"other {i}"] * 99) for i in range(10)}
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, PAGES).repartition(parts)).collect()} == wanted
+    few = [(i, "http://b.example/", f"<p>x {i}</p><div class=legal>{court}</div>") for i in range(2)]
+    assert [r.text for r in extract.extract(spark.createDataFrame(few, PAGES)).orderBy("page_id").collect()] == ["x 0", "x 1"]
+
+
 def test_pages_of_any_depth(spark):
     n = 100_000
     deep = "<div>" * n + "<p>at the bottom" + "</div>" * n
