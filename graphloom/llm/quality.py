@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphloom.functions.shared import stacked
 from graphloom.llm.common import settle, text_of
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -116,17 +117,22 @@ def _log_bin(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * BINS).cast("int")
 
 
-def _few(table: DataFrame, groups: int = GROUPS) -> DataFrame:
+def _short(table: DataFrame, rows: int = GROUPS) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
+def _sent(table: DataFrame, short: bool) -> DataFrame:
     """A settled table of one row per group, to be sent to every task if it is short, which spares shuffling the documents by group."""
-    return F.broadcast(table) if table.limit(groups + 1).count() <= groups else table
+    return F.broadcast(table) if short else table
 
 
-def fit_mcd(stats: DataFrame, min_group: int = 50, keys: tuple[str, ...] = ("lang_key", "source_key")) -> DataFrame:
+def fit_mcd(stats: DataFrame, min_group: int = 50, keys: tuple[str, ...] = ("lang_key", "source_key"), apart: str | None = None) -> DataFrame:
     """One row per group of keys that has min_group rows: centre, factor and consistency scale of the minimum-covariance-determinant estimate.
 
     stats: rows with keys and z_0.. (statistics over their floors). Each step keeps the ``SUPPORT`` share nearest the centre and
-    estimates anew. Only counts per bin and sums per group are shuffled. The floor is added to each variance, so that a statistic that is
-    constant in the core has a finite distance.
+    estimates anew, until the determinants of all groups settle; of all that share a value of apart, a key of few values, if it is given.
+    Only counts per bin and sums per group are shuffled. The floor is added to each variance, so that a statistic that is constant in the
+    core has a finite distance.
     """
     d, keys = FEATURES, list(keys)
     long = stats.select(*keys, F.posexplode(F.array(*(F.col(f"z_{i}") for i in range(d)))).alias("f", "z"))
@@ -134,21 +140,29 @@ def fit_mcd(stats: DataFrame, min_group: int = 50, keys: tuple[str, ...] = ("lan
     middle = medians.groupBy(*keys).agg(F.max("med_n").alias("n"), *(F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / 32)).alias(f"m_{i}") for i in range(d)))
     middle = middle.where(F.col("n") >= min_group).drop("n").withColumns({f"l_{i}_{j}": F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
     middle = settle(middle, "mcd")
-    plain = _moments(stats.join(_few(middle), keys), keys)
+    short = _short(middle, GROUPS // 2)  # counted once: the tables below have a row for each group and start at most
+    plain = _moments(stats.join(_sent(middle, short), keys), keys)
     model = settle(middle.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))), "mcd")
     both, started = stats.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), [*keys, "start"]
-    for _ in range(STEPS):
-        near = _with_distance(both.join(_few(model), started), d).withColumn("bin", _log_bin(F.col("d2")))
+    ended = []
+    for step in range(1, STEPS + 1):
+        model = model.withColumn("old", _log_determinant())
+        near = _with_distance(both.join(_sent(model, short), started), d).withColumn("bin", _log_bin(F.col("d2")))
         cut = settle(_quantile_bin(near, started, F.col("bin"), SUPPORT, "cut").drop("cut_n"), "cut")
-        new = settle(_moments(near.join(_few(cut), started).where(F.col("bin") <= F.col("cut")), started), "mcd")
-        change = new.withColumn("new", _log_determinant()).select(*started, "new").join(model.withColumn("old", _log_determinant()).select(*started, "old"), started)
-        moved = change.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0]
-        model = new
-        if moved is None or moved < SETTLED:
+        new = settle(_moments(near.join(_sent(cut, short), started).where(F.col("bin") <= F.col("cut")), started, "old"), "mcd")
+        moved = new.groupBy(*([apart] if apart else [])).agg(F.max(F.abs(_log_determinant() - F.col("old"))).alias("moved")).collect()
+        model = new.drop("old")
+        go_on = [r for r in moved if r.moved is not None and not r.moved < SETTLED] if step < STEPS else []
+        if not go_on:
             break
+        if len(go_on) < len(moved):
+            rest = F.col(apart).isin([r[apart] for r in go_on])
+            ended.append(model.where(~rest))
+            model, both = model.where(rest), both.where(rest)
+    model = stacked([*ended, model])
     best = F.min(F.struct(_log_determinant().alias("det"), "start", *(c for c in model.columns if c not in started))).alias("e")
     model = settle(model.groupBy(*keys).agg(best).select(*keys, "e.*").drop("det", "start"), "mcd")
-    middle = _quantile_bin(_with_distance(stats.join(_few(model), keys), d), keys, _log_bin(F.col("d2")), 0.5, "mid").drop("mid_n")
+    middle = _quantile_bin(_with_distance(stats.join(_sent(model, short), keys), d), keys, _log_bin(F.col("d2")), 0.5, "mid").drop("mid_n")
     scale = F.greatest(F.exp((F.col("mid") + 1) / BINS) / CHI2_MEDIAN, F.lit(1.0))
     return settle(model.join(middle, keys).withColumn("scale", scale).drop("mid"), "mcd")
 
@@ -157,37 +171,41 @@ def _log_determinant() -> Column:
     return reduce(lambda a, b: a + b, (2 * F.log(F.col(f"l_{i}_{i}")) for i in range(FEATURES)))
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre m_i and factor l_i_j of the rows' covariance per key, from sums about the centre m_i that the rows carry."""
+def _moments(rows: DataFrame, keys: list[str], *same: str) -> DataFrame:
+    """Centre m_i and factor l_i_j of the rows' covariance per key, from sums about the centre m_i that the rows carry; same: columns that a key's rows share."""
     d = FEATURES
     z = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(d)]
     sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), *(F.first(f"m_{i}").alias(f"o_{i}") for i in range(d)), *(F.sum(z[i]).alias(f"s_{i}") for i in range(d)),
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in same), *(F.first(f"m_{i}").alias(f"o_{i}") for i in range(d)), *(F.sum(z[i]).alias(f"s_{i}") for i in range(d)),
         *(F.sum(z[i] * z[j]).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)),
     )
     mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
     cov = {(i, j): F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(1.0 if i == j else 0.0) for i in range(d) for j in range(i + 1)}
     for name, v in _cholesky(cov, d).items():
         sums = sums.withColumn(name, v)
-    return sums.select(*keys, *((F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    return sums.select(*keys, *same, *((F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
 
 
 def fit_all(stats: DataFrame, min_group: int = 50) -> DataFrame:
-    """One row for every (lang_key, source_key) of stats: its own estimate, or that of its language, or that of all rows."""
-    whole = stats.withColumn("whole_key", F.lit(0))
-    groups = whole.groupBy("whole_key", "lang_key", "source_key").agg(F.count("*").alias("n"))
-    groups = settle(groups.withColumn("n_lang", F.sum("n").over(W.partitionBy("lang_key"))), "groups")
-    small = groups.where(F.col("n") < min_group)
-    levels = [(fit_mcd(stats, min_group), ["lang_key", "source_key"])]
-    if not small.isEmpty():
-        pooled = small.where(F.col("n_lang") >= min_group).select("lang_key").distinct()
-        levels.append((fit_mcd(stats.join(_few(pooled), "lang_key", "left_semi"), min_group, ("lang_key",)), ["lang_key"]))
-    if not small.where(F.col("n_lang") < min_group).isEmpty():
-        levels.append((fit_mcd(whole, 1, ("whole_key",)), ["whole_key"]))
-    for k, (model, keys) in enumerate(levels):
-        estimate = F.struct(*(c for c in model.columns if c not in keys)).alias(f"level_{k}")
-        groups = groups.join(model.select(*keys, estimate), keys, "left")
-    return settle(groups.select("lang_key", "source_key", F.coalesce(*(f"level_{k}" for k in range(len(levels)))).alias("e")).select("lang_key", "source_key", "e.*"), "mcd")
+    """One row for every (lang_key, source_key) of stats: its own estimate, or that of its language, or that of all rows.
+
+    A row counts in each of these groups of which an estimate is needed, and all groups are fitted at once: every query that is planned
+    takes of the driver's memory, and three fits in turn are three times as many.
+    """
+    keys, found = ["lang_key", "source_key"], ["level", "lang", "source"]
+    at = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    own, pooled, whole = at(0, F.col("lang_key"), F.col("source_key")), at(1, F.col("lang_key"), F.lit("")), at(2, F.lit(""), F.lit(""))
+    large, large_lang, by_lang = F.col("n") >= min_group, F.col("n_lang") >= min_group, W.partitionBy("lang_key")
+    groups = stats.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("n_lang", F.sum("n").over(by_lang))
+    groups = settle(groups.withColumn("lends", large_lang & F.max(~large).over(by_lang)), "groups")
+    needed = [F.when(large, own), F.when(F.col("lends"), pooled)]
+    if not groups.where(~large & ~large_lang).isEmpty():
+        needed.append(whole)
+    short = _short(groups)
+    rows = stats.join(_sent(groups, short), keys).select(F.explode(F.filter(F.array(*needed), lambda g: g.isNotNull())).alias("g"), *(f"z_{i}" for i in range(FEATURES)))
+    model = fit_mcd(settle(rows.select("g.*", *(f"z_{i}" for i in range(FEATURES))), "mcd-rows"), 1, tuple(found), "level")
+    used = groups.select(*keys, F.when(large, own).when(large_lang, pooled).otherwise(whole).alias("g")).select(*keys, "g.*")
+    return settle(used.join(model, found, "left").drop(*found), "mcd")
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
@@ -203,7 +221,7 @@ def _judged(docs: DataFrame, text: str, cutoff: float, min_group: int, keep_text
     named = stats.withColumns(keys | {f"z_{i}": f / w for i, (f, w) in enumerate(zip(_features(), FLOORS, strict=True))})
     model = fit_all(named.where(~base_failed()).select(*keys, *(f"z_{i}" for i in range(FEATURES))), min_group)
     sided = {"z_0": F.least("z_0", "m_0"), **{f"z_{i}": F.greatest(f"z_{i}", f"m_{i}") for i in (2, 3, 4)}}
-    joined = named.join(_few(model), [*keys], "left")
+    joined = named.join(_sent(model, _short(model)), [*keys], "left")
     d2 = _with_distance(joined.withColumns(sided), FEATURES).withColumn("distance2", F.col("d2") / F.col("scale"))
     out = d2.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).select(*(c for c in stats.columns if c.startswith("_q_")), *RESULTS)

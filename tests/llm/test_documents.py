@@ -89,6 +89,37 @@ def test_quality_judges_small_groups(spark, lang):
     assert all(r.distance2 is not None for r in got)
 
 
+def _levels(spark):
+    """Statistics of groups that need their own estimate, their language's and the whole table's."""
+    rng = np.random.default_rng(6)
+    groups = [("=en", "=s", 80), ("=en", "=tail", 20), ("=de", "=t1", 40), ("=de", "=t2", 30), ("=fr", "=t1", 9), ("", "", 3)]
+    rows = [(lang, source, *map(float, rng.normal(k, 1 + k / 4, 5))) for k, (lang, source, n) in enumerate(groups) for _ in range(n)]
+    return spark.createDataFrame(rows, "lang_key string, source_key string, " + ", ".join(f"z_{i} double" for i in range(5)))
+
+
+def test_quality_levels_are_those_of_separate_fits(spark):
+    df = _levels(spark)
+    values = lambda r: [r[c] for c in ("scale", *(f"m_{i}" for i in range(5)), *(f"l_{i}_{j}" for i in range(5) for j in range(i + 1)))]
+    own = {("=en", "=s"): quality.fit_mcd(df).first()}
+    langs = {r.lang_key: r for r in quality.fit_mcd(df, 50, ("lang_key",)).collect()}
+    whole = quality.fit_mcd(df.withColumn("whole_key", F.lit(0)), 1, ("whole_key",)).first()
+    got = {(r.lang_key, r.source_key): r for r in quality.fit_all(df).collect()}
+    assert len(got) == 6 and set(langs) == {"=en", "=de"}
+    for k, r in got.items():
+        assert np.allclose(values(r), values(own.get(k) or langs.get(k[0]) or whole), rtol=1e-9)
+
+
+def test_quality_levels_are_fitted_at_once(spark):
+    """Each query planned takes of the driver's memory: three levels need three queries a step together, not each six."""
+    df, context = _levels(spark).localCheckpoint(), spark.sparkContext._jsc.sc()
+    store = spark._jsparkSession.sharedState().statusStore()
+    context.listenerBus().waitUntilEmpty(60_000)
+    before = store.executionsCount()
+    quality.fit_all(df)
+    context.listenerBus().waitUntilEmpty(60_000)
+    assert 0 < store.executionsCount() - before <= 3 * quality.STEPS + 12
+
+
 def test_quality_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(5)
     z = rng.multivariate_normal(np.zeros(5), np.diag([4, 3, 2, 1, 5]) + 0.5, 4000)
