@@ -142,10 +142,15 @@ def co_changes(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def dispatch(g: Graph) -> DataFrame:
-    """O-J8: method and the same-named method of an interface that its parent inherits from."""
+    """O-J8: method and the same-named method of an interface that its parent inherits from.
+
+    Bases without a method of their own are left out before any pair of a method and a base is made.
+    """
     m = g.symbols.where("kind = 'method' and parent_id is not null").select("symbol_id", "name", "parent_id")
-    kin = g.edges.where("kind = 'inherits'").select(F.col("source_id").alias("parent_id"), F.col("target_id").alias("interface_id")).distinct()
+    kin = g.edges.where("kind = 'inherits'").select(F.col("source_id").alias("parent_id"), F.col("target_id").alias("interface_id"))
     other = m.select(F.col("symbol_id").alias("interface_method"), "name", F.col("parent_id").alias("interface_id"))
+    met = settle(kin.select("interface_id").distinct().join(other, "interface_id", "left_semi"), "bases")
+    kin = kin.join(met, "interface_id", "left_semi").distinct()
     return m.join(kin, "parent_id").join(other, ["interface_id", "name"]).select("symbol_id", "interface_method").distinct()
 
 
