@@ -74,15 +74,24 @@ def _best(found: DataFrame, cap: float) -> DataFrame:
 def ancestry(g: Graph, depth: int = ANCESTORS) -> DataFrame:
     """O-R5: symbol_id, ancestor_id, depth: nearest first, over inherits and includes edges, a fixpoint of at most so many levels."""
     up = g.edges.where(F.col("kind").isin("inherits", "includes") & F.col("source_id").isNotNull()).select(F.col("source_id").alias("symbol_id"), F.col("target_id").alias("ancestor_id")).distinct()
-    up = settle(up, "parents")
-    levels = [frontier := settle(up.where("symbol_id <> ancestor_id").withColumn("depth", F.lit(1)), "ancestry")]
+    first = up.where("symbol_id <> ancestor_id").withColumn("depth", F.lit(1))
+    # Only ancestors that have ancestors lead further; pairs with others are never written.
+    end = lambda c: settle(up.select(F.col(c).alias("mid")).distinct(), "ids")
+    mid = settle(end("ancestor_id").join(end("symbol_id"), "mid", "left_semi"), "inner")
+    if mid.isEmpty():
+        return first
+    on = settle(up.withColumnRenamed("symbol_id", "mid").join(mid, "mid", "left_semi"), "parents")
+    frontier = settle(first.join(mid.withColumnRenamed("mid", "ancestor_id"), "ancestor_id", "left_semi").select(*first.columns), "ancestry")
+    near = settle(first.join(frontier.select("symbol_id").distinct(), "symbol_id", "left_semi").select(*first.columns), "ancestry")
+    levels = [near]
     for d in range(2, depth + 1):
-        step = frontier.select("symbol_id", F.col("ancestor_id").alias("mid")).join(up.select(F.col("symbol_id").alias("mid"), "ancestor_id"), "mid").select("symbol_id", "ancestor_id").distinct()
-        frontier = settle(step.where("symbol_id <> ancestor_id").join(stacked(levels), ["symbol_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(d)), "ancestry")
-        if frontier.isEmpty():
+        step = frontier.select("symbol_id", F.col("ancestor_id").alias("mid")).join(on, "mid").select("symbol_id", "ancestor_id").distinct()
+        new = settle(step.where("symbol_id <> ancestor_id").join(stacked(levels), ["symbol_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(d)), "ancestry")
+        if new.isEmpty():
             break
-        levels.append(frontier)
-    return stacked(levels)
+        levels.append(new)
+        frontier = new.join(mid.withColumnRenamed("mid", "ancestor_id"), "ancestor_id", "left_semi").select(*first.columns)
+    return stacked([first, *levels[1:]])
 
 
 def _leaf(p: DataFrame, refs: DataFrame) -> DataFrame:
@@ -163,6 +172,10 @@ def composed_models(found: DataFrame, model_modules: DataFrame) -> DataFrame:
     return top.groupBy("edge_no").agg(F.min("symbol_id").alias("symbol_id"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+#: Pairs of a model and a part that a task makes, about.
+EXPANDED = 1 << 22
+
+
 def mixins(g: Graph) -> DataFrame:
     """O-R12, O-J16: callers of a macro compose its collaborators, .8. A macro is a callable that both is called by classes and composes."""
     use = g.edges.where("kind = 'calls' and source_id is not null").select(F.col("source_id").alias("model"), F.col("target_id").alias("macro"), "file_id").join(g.symbols.where("kind = 'class'").select(F.col("symbol_id").alias("model")), "model", "left_semi")
