@@ -112,12 +112,12 @@ def representatives(g: Graph) -> DataFrame:
 
 
 def satisfiers(g: Graph) -> DataFrame:
-    """O-A17: per interface the distinct symbols, not interfaces, that inherit from it."""
+    """O-A17: per interface the distinct symbols, not interfaces, that inherit from it; counted before targets are looked up."""
     kinds = g.symbols.select("symbol_id", "kind")
     source = kinds.where("kind <> 'interface'").select(F.col("symbol_id").alias("source_id"))
-    target = kinds.where("kind = 'interface'").select(F.col("symbol_id").alias("target_id"))
-    pairs = g.edges.where("kind = 'inherits'").select("source_id", "target_id").distinct().join(source, "source_id", "left_semi").join(target, "target_id", "left_semi")
-    return pairs.groupBy(F.col("target_id").alias("interface_id")).agg(F.count("*").alias("satisfiers"))
+    target = kinds.where("kind = 'interface'").select(F.col("symbol_id").alias("interface_id"))
+    pairs = g.edges.where("kind = 'inherits'").select("source_id", "target_id").distinct().join(source, "source_id", "left_semi")
+    return pairs.groupBy(F.col("target_id").alias("interface_id")).agg(F.count("*").alias("satisfiers")).join(target, "interface_id", "left_semi")
 
 
 def minimum_key(g: Graph) -> DataFrame:
