@@ -58,7 +58,8 @@ def candidates(g: Graph, skip_test_references: bool = True, language: str = "",
         s = s.where(F.col("language") == language)
     if domain:
         s = s.where(F.col("path").ilike(f"%{domain}%"))
-    return s.join(e.select(F.col("target_id").alias("symbol_id")), "symbol_id", "left_anti")
+    targets = settle(e.select(F.col("target_id").alias("symbol_id")).distinct(), "targets")  # the optimiser drops a plain distinct() here
+    return s.join(targets, "symbol_id", "left_anti")
 
 
 def alive_by_interface(g: Graph) -> DataFrame:
