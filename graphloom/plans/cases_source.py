@@ -105,9 +105,14 @@ def _filled(template: str):
     return F.concat(*(x for k, p in enumerate(pieces) for x in ([F.col("p_partkey").cast("string")] if k else []) + [F.lit(p)]))
 
 
+#: Generated files of a task.
+FILES = 10_000
+
+
 def sources(spark, sf, *languages):
-    """file_id, path, content: for each part a file of each language."""
+    """file_id, path, content: for each part a file of each language. Keys are dealt out by their count, since a small table makes many files."""
     part = pj.table(spark, sf, "part").select("p_partkey")
+    part = part.repartition(max(1, -(-part.count() * len(languages) // FILES)), "p_partkey")
     made = [F.struct(F.col("p_partkey").alias("file_id"), F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit("." + TEMPLATES[x][0])).alias("path"), _filled(TEMPLATES[x][1]).alias("content")) for x in languages]
     return part.select(F.inline(F.array(*made)))
 
